@@ -127,22 +127,33 @@ def _reverse_group(group: Column) -> Column:
     return F.when(slash & colon, group).when(slash, flip("/")).otherwise(flip(":"))
 
 
-def _normalise_line(line: Column) -> Column:
-    tight = F.regexp_replace(line, rf"([/:])[{SPACE_CLASS}]+(?=[0-9])", "$1")
-    between = F.split(tight, NUMBER_GROUP)
-    groups = F.transform(F.regexp_extract_all(tight, F.lit(NUMBER_GROUP), 0), _reverse_group)
-    flipped = F.array_join(
+def _tighten_numbers(line: Column) -> Column:
+    return F.regexp_replace(line, rf"([/:])[{SPACE_CLASS}]+(?=[0-9])", "$1")
+
+
+def _flip_numbers(line: Column) -> Column:
+    groups = F.transform(F.regexp_extract_all(line, F.lit(NUMBER_GROUP), 0), _reverse_group)
+    between = F.split(line, NUMBER_GROUP)
+    return F.array_join(
         F.zip_with(between, groups, lambda gap, group: F.concat(gap, F.coalesce(group, F.lit("")))), ""
     )
+
+
+def _tighten_punctuation(line: Column) -> Column:
     lead = rf"[0-9{RTL_DISPLAY_CLASS}]"
-    opened = F.regexp_replace(flipped, rf"([{OPENING_PUNCT_CLASS}])[{SPACE_CLASS}]+(?={lead})", "$1")
+    opened = F.regexp_replace(line, rf"([{OPENING_PUNCT_CLASS}])[{SPACE_CLASS}]+(?={lead})", "$1")
     closed = F.regexp_replace(opened, rf"({lead})[{SPACE_CLASS}]+([{CLOSING_PUNCT_CLASS}])", "$1$2")
-    section = F.regexp_replace(closed, SECTION_MARKER, "$1$3-$2$4")
-    moved = F.regexp_replace(section, TRAILING_DOT, "$1.$2$3$4$5")
-    return F.when(section.rlike(f"[{RTL_DISPLAY_CLASS}]"), moved).otherwise(section)
+    return F.regexp_replace(closed, SECTION_MARKER, "$1$3-$2$4")
+
+
+def _lead_with_dot(line: Column) -> Column:
+    moved = F.regexp_replace(line, TRAILING_DOT, "$1.$2$3$4$5")
+    return F.when(line.rlike(f"[{RTL_DISPLAY_CLASS}]"), moved).otherwise(line)
 
 
 def normalise_rtl_line(text: Column, rtl: Column) -> Column:
     """Put number groups, punctuation gaps and list dots of right-to-left lines in reading order."""
-    fixed = F.array_join(F.transform(F.split(text, "\n"), _normalise_line), "\n")
-    return F.when(rtl, fixed).otherwise(text)
+    lines = F.split(text, "\n")
+    for step in (_tighten_numbers, _flip_numbers, _tighten_punctuation, _lead_with_dot):
+        lines = F.transform(lines, step)
+    return F.when(rtl, F.array_join(lines, "\n")).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,22 +136,42 @@ def text_width_estimate(text: Column, em: Column) -> Column:
     return F.length(text) * em * CHAR_EM
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and hand it to `body`, so that long expressions are not repeated."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def justify_rtl_line(text: Column, width: Column, height: Column) -> Column:
     """Spread the missing width over the gaps of a line as extra spaces, first gaps first."""
-    trimmed = wide_trim(text)
     gap_pattern = rf"[{SPACE_CLASS}]+"
-    gaps = F.regexp_extract_all(trimmed, F.lit(gap_pattern), 0)
-    count = F.size(gaps)
-    missing = width - text_width_estimate(trimmed, height)
-    extra = F.greatest(F.lit(0), js_round(missing / (height * SPACE_EM))).cast("int")
-    share = (extra / count).cast("int")
-    wide_gaps = F.transform(
-        gaps, lambda gap, i: F.concat(gap, F.repeat(F.lit(" "), share + F.when(i < extra % count, 1).otherwise(0)))
-    )
-    joined = F.array_join(
-        F.zip_with(F.split(trimmed, gap_pattern), wide_gaps, lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), ""
-    )
-    return F.when((count == 0) | (missing <= height * SPACE_EM) | (extra == 0), trimmed).otherwise(joined)
+
+    def measure(trimmed: Column) -> Column:
+        missing = width - text_width_estimate(trimmed, height)
+        return F.struct(
+            trimmed.alias("text"),
+            F.regexp_extract_all(trimmed, F.lit(gap_pattern), 0).alias("gaps"),
+            missing.alias("missing"),
+            F.greatest(F.lit(0), js_round(missing / (height * SPACE_EM))).cast("int").alias("extra"),
+        )
+
+    def spread(m: Column) -> Column:
+        count = F.size(m["gaps"])
+        wide_gaps = F.transform(
+            m["gaps"],
+            lambda gap, i: F.concat(
+                gap,
+                F.repeat(
+                    F.lit(" "),
+                    F.floor(m["extra"] / count).cast("int") + F.when(i < m["extra"] % count, 1).otherwise(0),
+                ),
+            ),
+        )
+        words = F.split(m["text"], gap_pattern)
+        joined = F.array_join(F.zip_with(words, wide_gaps, lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), "")
+        as_is = (count == 0) | (m["missing"] <= height * SPACE_EM) | (m["extra"] == 0)
+        return F.when(as_is, m["text"]).otherwise(joined)
+
+    return let(let(wide_trim(text), measure), spread)
 
 
 def indent_lines(lines: Column) -> Column:

@@ -110,15 +110,51 @@ def islands(
     keys: Sequence[str],
     order: str,
     previous: Mapping[str, str],
-    starts: Callable[[], Column],
+    starts: Callable[[], Column] | Mapping[str, Callable[[], Column]],
     name: str = "island",
     block: int | Column = BLOCK,
 ) -> DataFrame:
     """Number maximal stretches of rows; `starts` tests a row against the previous-row columns.
 
-    The first row of a key starts island 1. `starts` may be null there.
+    `previous` maps the names `starts` uses for the row before to columns; the
+    test may use those columns of the current row too. The first row of a key
+    starts island 1. Several tests number several columns in the same two
+    windows: one over the rows and one over the block summaries.
     """
-    marked = with_previous(df, keys, order, {**previous, "_seen": order}, block)
-    opens = F.when(F.col("_seen").isNull() | F.coalesce(starts(), F.lit(True)), 1).otherwise(0)
-    numbered = with_running(marked.withColumn("_opens", opens), keys, order, {name: ("sum", F.col("_opens"))}, block)
-    return numbered.drop("_seen", "_opens", *previous)
+    tests = dict(starts) if isinstance(starts, Mapping) else {name: starts}
+    based = df.withColumn(BLOCK_COLUMN, _block_column(order, block))
+    ends = [*keys, BLOCK_COLUMN]
+    inner = Window.partitionBy(*ends).orderBy(order)
+    value = F.struct(*[F.col(old).alias(new) for new, old in previous.items()])
+    current = list(dict.fromkeys([*previous.values(), order]))
+    opens = {n: F.when(F.coalesce(test(), F.lit(True)), 1).otherwise(0) for n, test in tests.items()}
+    marked = based.withColumn("_near", F.lag(value).over(inner))
+    marked = marked.select("*", *[F.col("_near")[new].alias(new) for new in previous])
+    first = F.col("_near").isNull()
+    marked = marked.select("*", *[F.when(first, 0).otherwise(o).alias(f"_opens_{n}") for n, o in opens.items()])
+    blocks = marked.groupBy(*ends).agg(
+        *[F.sum(f"_opens_{n}").alias(f"_within_{n}") for n in tests],
+        F.min_by(F.struct(*current), order).alias("_first"),
+        F.max_by(value, order).alias("_tail"),
+    )
+    outer = Window.partitionBy(*keys).orderBy(BLOCK_COLUMN)
+    linked = blocks.withColumn("_before", F.lag("_tail").over(outer)).select(
+        "*",
+        *[F.col("_first")[c].alias(c) for c in current if c not in ends],
+        *[F.col("_before")[new].alias(new) for new in previous],
+    )
+    linked = linked.select(
+        "*", *[F.when(F.col("_before").isNull(), 1).otherwise(o).alias(f"_enter_{n}") for n, o in opens.items()]
+    )
+    upto = outer.rowsBetween(Window.unboundedPreceding, 0)
+    below = outer.rowsBetween(Window.unboundedPreceding, -1)
+    carries = linked.select(
+        *ends,
+        *[
+            (F.sum(f"_enter_{n}").over(upto) + F.coalesce(F.sum(f"_within_{n}").over(below), F.lit(0))).alias(f"_carry_{n}")
+            for n in tests
+        ],
+    )
+    so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
+    joined = marked.select("*", *[F.sum(f"_opens_{n}").over(so_far).alias(f"_run_{n}") for n in tests]).join(carries, ends)
+    return joined.select(*df.columns, *[(F.col(f"_run_{n}") + F.col(f"_carry_{n}")).alias(n) for n in tests])

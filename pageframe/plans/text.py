@@ -276,7 +276,7 @@ def txt_21(spark, sf):
     b AS (SELECT *, regexp_extract_all(t, '[{_WS}]+') AS gaps, string_split_regex(t, '[{_WS}]+') AS words, w - length(t) * 6e0 AS miss FROM a),
     c AS (SELECT *, len(gaps) AS n, CAST(greatest(0, floor(miss / 3e0 + 0.5e0)) AS INT) AS extra FROM b)
     SELECT doc_id, line_no, CASE WHEN n = 0 OR miss <= 3e0 OR extra = 0 THEN t ELSE list_aggregate(list_transform(words, lambda x, i:
-        concat(x, coalesce(concat(gaps[i], repeat(' ', CAST(extra // n + CASE WHEN i - 1 < extra % n THEN 1 ELSE 0 END AS INT))), ''))), 'string_agg', '') END AS justified
+        concat(x, coalesce(gaps[i] || repeat(' ', CAST(extra // n + CASE WHEN i - 1 < extra % n THEN 1 ELSE 0 END AS INT)), ''))), 'string_agg', '') END AS justified
     FROM c"""))
 def txt_22(spark, sf):
     wide = F.length("line") * 6.0 + F.col("line_no") % 9 * 10.0

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageframe.functions.geometry import rect
+from pageframe.functions.script import KEYS, THAANA
 from pageframe.sources.layout import line_items, text_lines
 
 # Personal data patterns (mail address, telephone or card digits, dotted IP).
@@ -57,6 +58,28 @@ _VIEWS = {
                100e0 + (line_no % 3) * 4e0 AS "left", 12e0 * length(line) AS width, 24e0 AS height,
                84e0 + (line_no % 50) * 28e0 AS baseline_y, 56e0 + (line_no % 50) * 28e0 AS top, 36e0 AS box_height
         FROM {lines} WHERE line <> ''""",
+    "view_items": """
+        SELECT doc_id, source_key, page_index, line_no, index, tok_no,
+               CASE WHEN tok_no = 0 AND line_no % 3 = 0 THEN '7.2' WHEN doc_id % 2 = 1
+                    THEN translate(str, '@KEYS@', '@THAANA@') ELSE str END AS str,
+               x * 2e0 + floor(tok_no / 13) * 60e0 AS x, 1684e0 - y * 2e0 AS y,
+               CASE WHEN tok_no % 17 = 16 THEN 0e0 ELSE width * 2e0 END AS width, 24e0 AS height
+        FROM {items}""",
+    "para_runs": """
+        SELECT source_key, page_index, line_no, CAST(line_no % 50 AS INT) AS run_no, run_id,
+               CASE WHEN line_no % 4 = 0 THEN concat('6.2 ', text) ELSE text END AS text,
+               100e0 + CASE WHEN line_no % 13 = 12 THEN 900e0 WHEN line_no % 5 = 3 THEN 60e0 ELSE 0e0 END AS "left",
+               CASE WHEN line_no % 13 >= 11 THEN 300e0 ELSE width END AS width, height, box_height,
+               baseline_y - CASE WHEN line_no % 13 = 12 THEN 28e0 ELSE 0e0 END AS baseline_y,
+               top - CASE WHEN line_no % 13 = 12 THEN 28e0 ELSE 0e0 END AS top,
+               CASE WHEN floor(line_no / 7) % 3 = 2 THEN 'Arial' ELSE 'Faruma' END AS font_family,
+               line_no % 19 = 0 AS bold, false AS italic, line_no % 2 = 0 AS underline, true AS strikethrough
+        FROM {runs}""",
+    "shows": """
+        SELECT doc_id, source_key, page_index, index AS op_index, x + 2e0 AS x, y + 1e0 AS y, str,
+               CASE (doc_id + tok_no) % 3 WHEN 0 THEN 'ABCDEE+Faruma' WHEN 1 THEN 'Helvetica-Bold' ELSE 'ArialMT' END AS base_font,
+               (doc_id + tok_no) % 3 = 1 AS bold, false AS italic, concat('F', doc_id % 10) AS font
+        FROM {items}""",
     "edit_log": """
         SELECT event_id AS seq, ts, concat('s', user_id) AS slot_id, event_type AS action,
                concat('r', regexp_extract(props, '[0-9]+', 0)) AS run_id,
@@ -129,6 +152,7 @@ _VIEWS = {
                6e0 * length(line) AS aw, 14e0 AS ah, line AS contents
         FROM {lines} WHERE line <> '' AND (doc_id + line_no) % 2 = 0""",
 }
+_VIEWS["view_items"] = _VIEWS["view_items"].replace("@KEYS@", KEYS).replace("@THAANA@", THAANA)
 _VIEWS["pii"] = _VIEWS["pii"].replace("@PII@", PII_PATTERN.replace("'", "''"))
 
 
