@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageframe.functions.geometry import rects_overlap
@@ -113,3 +113,49 @@ def band_join(
     for k in (*keys, "_band"):
         condition = condition & (F.col(k) == F.col(f"_r_{k}"))
     return lband.join(renamed, condition, how).drop("_band", "_lv", "_rv", "_rv", *[f"_r_{k}" for k in (*keys, "_band")])
+
+
+def nearest_in_row(
+    probes: DataFrame,
+    points: DataFrame,
+    keys: Sequence[str],
+    probe_x: str,
+    point_x: str,
+    point_id: str,
+    width: float = 1024.0,
+) -> DataFrame:
+    """Each probe with its nearest points on either side along x, at most two rows per probe.
+
+    Instead of all pairs of a row, both sides are sorted along x together. Points
+    at one x are first reduced to the smallest id. Rows of any length are cut
+    into blocks along x, and block summaries carry the neighbours across borders.
+    Adds near_x and near_id.
+    """
+    keys = list(keys)
+    ends = [*keys, "_blk"]
+    kept = [c for c in probes.columns if c not in keys]
+    single = points.groupBy(*keys, F.col(point_x).alias("_x")).agg(F.min(point_id).alias("_id"))
+    point = F.struct(F.col("_x").alias("x"), F.col("_id").alias("id"))
+    right = single.select(*keys, "_x", F.lit(0).alias("_side"), point.alias("_pt"))
+    left = probes.select(*keys, F.col(probe_x).alias("_x"), F.lit(1).alias("_side"), F.struct(*kept).alias("_probe"))
+    events = right.unionByName(left, allowMissingColumns=True).withColumn("_blk", F.floor(F.col("_x") / width))
+    inner = Window.partitionBy(*ends).orderBy("_x", "_side")
+    outer = Window.partitionBy(*keys).orderBy("_blk")
+    summary = events.groupBy(*ends).agg(F.min("_pt").alias("_lo"), F.max("_pt").alias("_hi"))
+    carries = summary.select(
+        *ends,
+        F.last("_hi", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_lo", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    placed = events.select(
+        *ends, "_side", "_probe",
+        F.last("_pt", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)).alias("_below"),
+        F.first("_pt", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)).alias("_above"),
+    ).where(F.col("_side") == 1)
+    found = placed.join(carries, ends, "left").select(
+        *keys, "_probe",
+        F.explode(F.array(F.coalesce("_below", "_before"), F.coalesce("_above", "_after"))).alias("_near"),
+    )
+    return found.where(F.col("_near").isNotNull()).select(
+        *keys, *[F.col("_probe")[c].alias(c) for c in kept], F.col("_near.x").alias("near_x"), F.col("_near.id").alias("near_id")
+    )

@@ -1,3 +1,3 @@
 """Imports every plan module so that each registers itself."""
 
-from pageframe.plans import geometry, runs, sources, text  # noqa: F401
+from pageframe.plans import geometry, redact, runs, sources, text  # noqa: F401

@@ -43,7 +43,11 @@ _GROUPED = rf"""
     grouped AS (SELECT i4.*, CAST(s4.run_no AS INT) AS run_no FROM i4 JOIN s4 USING (source_key, page_index, seg))"""
 _ORDERED = rf"""{_GROUPED},
     g1 AS (SELECT *, bool_or(regexp_matches(str, '[{sc.RTL_RUN_CLASS}]')) OVER (PARTITION BY source_key, page_index, run_no) AS rtl FROM grouped),
-    ordered AS (SELECT *, row_number() OVER (PARTITION BY source_key, page_index, run_no ORDER BY CASE WHEN rtl THEN -"right" ELSE x END, -width, index) AS pos FROM g1)"""
+    g2 AS (SELECT *, row_number() OVER (PARTITION BY source_key, page_index, run_no ORDER BY CASE WHEN rtl THEN -"right" ELSE x END, -width, index) AS pos FROM g1),
+    g3 AS (SELECT *, lag(x) OVER p AS ql, lag("right") OVER p AS qr, lag(script) OVER p AS qs, lag(marker) OVER p AS qm FROM g2
+           WINDOW p AS (PARTITION BY source_key, page_index, run_no ORDER BY pos)),
+    ordered AS (SELECT *, CAST(CASE WHEN pos = 1 THEN 0 WHEN pos = 2 AND qs = 'ltr' AND script = 'rtl' AND qm
+        THEN greatest(1, floor(least(abs(x - qr), abs(ql - "right")) / 6 + 0.5e0)) ELSE 1 END AS INT) AS sp FROM g3)"""
 
 
 @plan("win_1", duck(f"WITH {_GROUPED} SELECT source_key, page_index, index, run_no FROM grouped"))
@@ -58,10 +62,10 @@ def win_2(spark, sf):
     return runs.select("source_key", "page_index", "run_no", "rtl", ids.alias("ids"))
 
 
-_TEXT = f"regexp_replace(string_agg(str, ' ' ORDER BY pos), '[{sc.SPACE_CLASS}]+([{sc.MARK_CLASS}])', '\\1', 'g')"
+_TEXT = f"regexp_replace(string_agg(concat(repeat(' ', sp), str), '' ORDER BY pos), '[{sc.SPACE_CLASS}]+([{sc.MARK_CLASS}])', '\\1', 'g')"
 
 
-@plan("win_3", duck(f"WITH {_ORDERED} SELECT source_key, page_index, run_no, {_TEXT} AS text, count(*) - 1 AS gaps FROM ordered GROUP BY source_key, page_index, run_no"))
+@plan("win_3", duck(f"WITH {_ORDERED} SELECT source_key, page_index, run_no, {_TEXT} AS text, CAST(sum(sp) AS BIGINT) AS gaps FROM ordered GROUP BY source_key, page_index, run_no"))
 def win_3(spark, sf):
     rows = rn.build_run_rows(_ordered(spark, sf))
     gaps = F.aggregate("spaces", F.lit(0), lambda a, n: a + n).cast("long")
@@ -69,13 +73,14 @@ def win_3(spark, sf):
 
 
 @plan("win_4", duck(f"""WITH {_ORDERED},
-    c AS (SELECT source_key, page_index, run_no, pos, k, substr(str, CAST(k AS INT), 1) AS ch, st + (en - st) * ((k - 1) / length(str)) AS bef, st + (en - st) * (k / length(str)) AS aft
+    c AS (SELECT source_key, page_index, run_no, pos, k, sp, substr(str, CAST(k AS INT), 1) AS ch, st + (en - st) * ((k - 1) / length(str)) AS bef, st + (en - st) * (k / length(str)) AS aft
           FROM (SELECT *, CASE WHEN script = 'rtl' THEN "right" ELSE x END AS st, CASE WHEN script = 'rtl' THEN x ELSE "right" END AS en,
                 unnest(generate_series(1, length(str))) AS k FROM ordered)),
-    e AS (SELECT source_key, page_index, run_no, pos, arg_min(bef, k) AS st, arg_max(aft, k) AS en, arg_min(ch, k) AS c0 FROM c GROUP BY ALL),
+    e AS (SELECT source_key, page_index, run_no, pos, any_value(sp) AS sp, arg_min(bef, k) AS st, arg_max(aft, k) AS en, arg_min(ch, k) AS c0 FROM c GROUP BY ALL),
     s AS (SELECT *, lag(en) OVER (PARTITION BY source_key, page_index, run_no ORDER BY pos) AS prev_end FROM e),
     u AS (SELECT source_key, page_index, run_no, pos, k, bef, aft FROM c
-          UNION ALL SELECT source_key, page_index, run_no, pos, 0, prev_end, st FROM s WHERE prev_end IS NOT NULL AND NOT regexp_matches(c0, '[{sc.MARK_CLASS}]'))
+          UNION ALL SELECT source_key, page_index, run_no, pos, 0, prev_end + (st - prev_end) * ((g - 1) / sp), prev_end + (st - prev_end) * (g / sp)
+          FROM (SELECT *, unnest(generate_series(1, sp)) AS g FROM s WHERE prev_end IS NOT NULL) WHERE prev_end IS NOT NULL AND NOT regexp_matches(c0, '[{sc.MARK_CLASS}]'))
     SELECT source_key, page_index, run_no, count(*) AS n, sum(CAST(floor(bef) AS BIGINT)) AS before_sum, sum(CAST(floor(aft) AS BIGINT)) AS after_sum FROM u GROUP BY ALL"""))
 def win_4(spark, sf):
     chars = rn.char_edges(_ordered(spark, sf))
@@ -186,24 +191,34 @@ def join_2(spark, sf):
     return rn.nearest_item_for_show(shows, _pdf_items(spark, sf))
 
 
+_CLAIMS = """
+    dec AS (SELECT source_key, page_index, op_index, x, y, concat(str, '!') AS decoded FROM {shows} WHERE op_index % 5 = 0),
+    claims AS (SELECT i.source_key, i.page_index, i.index, arg_min(d.op_index, abs(d.x - i.x) * 1000000000 + d.op_index) AS op_index
+        FROM {items} i JOIN dec d ON i.source_key = d.source_key AND i.page_index = d.page_index AND d.y = i.y + 1
+        WHERE regexp_matches(i.str, '[!-~]') OR NOT regexp_matches(i.str, '[!-~]') GROUP BY ALL)"""
+
+
 def _decoded(spark, sf):
     df = bridge.view(spark, sf, "shows").where("op_index % 5 = 0")
     return df.select("source_key", "page_index", "op_index", "x", "y", F.concat("str", F.lit("!")).alias("decoded"))
 
 
-_CLAIMS = """
-    dec AS (SELECT source_key, page_index, op_index, x, y, concat(str, '!') AS decoded FROM {shows} WHERE op_index % 5 = 0),
-    claims AS (SELECT i.source_key, i.page_index, i.index, arg_min(d.op_index, abs(d.x - i.x) * 1000000000 + d.op_index) AS op_index
-        FROM {items} i JOIN dec d ON i.source_key = d.source_key AND i.page_index = d.page_index AND d.y = i.y + 1
-        WHERE regexp_matches(i.str, '[!-~]') GROUP BY ALL)"""
 
 
-@plan("join_3")
+
+@plan("join_3", duck(f"WITH {_CLAIMS} SELECT * FROM claims"))
 def join_3(spark, sf):
     return rn.nearest_show_for_item(_pdf_items(spark, sf), _decoded(spark, sf))
 
 
-@plan("join_4")
+@plan("join_4", duck(f"""WITH {_CLAIMS},
+    m AS (SELECT d.source_key, d.page_index, d.op_index, d.decoded, d.x, d.y, arg_max(i.index, length(i.str) * 1000000000 - i.index) AS main, min(i.x) AS l, max(i.x + i.width) AS r
+          FROM claims c JOIN dec d USING (source_key, page_index, op_index) JOIN {{items}} i USING (source_key, page_index, index) GROUP BY ALL)
+    SELECT i.source_key, i.page_index, i.index, CASE WHEN m.main = i.index THEN m.decoded WHEN m.main IS NOT NULL THEN '' ELSE i.str END AS str,
+           CASE WHEN m.main = i.index THEN m.l ELSE i.x END AS item_x, CASE WHEN m.main = i.index THEN greatest(m.r - m.l, i.width) ELSE i.width END AS width, 12e0 AS height, c.op_index AS claimed_by
+    FROM {{items}} i LEFT JOIN claims c USING (source_key, page_index, index) LEFT JOIN m ON m.source_key = i.source_key AND m.page_index = i.page_index AND m.op_index = c.op_index
+    UNION ALL SELECT d.source_key, d.page_index, CAST(d.op_index + 100000000 AS INT), d.decoded, d.x, 0e0, 12e0, d.op_index
+    FROM dec d WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.source_key = d.source_key AND c.page_index = d.page_index AND c.op_index = d.op_index)"""))
 def join_4(spark, sf):
     items, decoded = _pdf_items(spark, sf), _decoded(spark, sf)
     claims = rn.nearest_show_for_item(items, decoded)

@@ -152,7 +152,7 @@ _VIEWS = {
                6e0 * length(line) AS aw, 14e0 AS ah, line AS contents
         FROM {lines} WHERE line <> '' AND (doc_id + line_no) % 2 = 0""",
 }
-_VIEWS["view_items"] = _VIEWS["view_items"].replace("@KEYS@", KEYS).replace("@THAANA@", THAANA)
+_VIEWS["view_items"] = _VIEWS["view_items"].replace("@KEYS@", KEYS[:-2]).replace("@THAANA@", THAANA[:-2])
 _VIEWS["pii"] = _VIEWS["pii"].replace("@PII@", PII_PATTERN.replace("'", "''"))
 
 
