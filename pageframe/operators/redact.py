@@ -145,16 +145,18 @@ def leak_check(texts: DataFrame, text_col: str, sentinels: DataFrame, sentinel_c
     lists = sentinels.where(n > 0).select(sentinel_col).distinct().withColumn("_q", size).withColumn(
         "_gram", F.col(sentinel_col).substr(F.lit(1), F.col("_q")))
     sizes = [r["_q"] for r in lists.select("_q").distinct().collect()]  # at most four values
-    last = lambda q: F.length(text_col) - q
-    grams = [
-        F.when(last(q) >= 0, F.array_distinct(F.transform(
-            F.sequence(F.lit(0), last(q)), lambda i, q=q: F.struct(F.lit(q).alias("_q"), F.col(text_col).substr(i + 1, F.lit(q)).alias("_gram")))))
-        .otherwise(F.array().cast("array<struct<_q:int,_gram:string>>"))
-        for q in sizes
-    ]
+    def grams_of(q: int) -> Column:
+        letters = F.col("_letters")
+        gram = F.transform(F.sequence(F.lit(1), F.size(letters) - q + 1), lambda i: F.array_join(F.slice(letters, i, q), ""))
+        rows = F.transform(F.array_distinct(gram), lambda g: F.struct(F.lit(q).alias("_q"), g.alias("_gram")))
+        return F.when(F.size(letters) >= q, rows).otherwise(F.array().cast("array<struct<_q:int,_gram:string>>"))
+
+    grams = [grams_of(q) for q in sizes]
     if not grams:
         return texts.where(F.lit(False)).withColumn(sentinel_col, F.lit(None).cast("string"))
-    exploded = texts.select("*", F.explode(F.flatten(F.array(*grams))).alias("_g")).select("*", "_g._q", "_g._gram").drop("_g")
+    lettered = texts.withColumn("_letters", F.split(text_col, ""))
+    exploded = lettered.select("*", F.explode(F.flatten(F.array(*grams))).alias("_g")).select("*", "_g._q", "_g._gram")
+    exploded = exploded.drop("_g", "_letters")
     return exploded.join(lists, ["_q", "_gram"]).where(found).drop("_q", "_gram")
 
 

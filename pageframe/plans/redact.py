@@ -444,7 +444,7 @@ def join_17(spark, sf):
 
 @plan("join_18", duck(f"""
     WITH d AS (SELECT source_key, page_index, index, {_T} AS t FROM {{items}} WHERE doc_id % 2 = 0 AND tok_no % 9 <> 8)
-    SELECT source_key, page_index, index AS op_index, reverse(t) AS decoded FROM d WHERE NOT regexp_matches(t, '{_KNOWN}') AND regexp_matches(t, '[\\x{{0590}}-\\x{{08FF}}]')"""))
+    SELECT source_key, page_index, index AS op_index, array_to_string(list_reverse(regexp_extract_all(t, '(?s).')), '') AS decoded FROM d WHERE NOT regexp_matches(t, '{_KNOWN}') AND regexp_matches(t, '[\\x{{0590}}-\\x{{08FF}}]')"""))
 def join_18(spark, sf):
     decoded = decode_glyphs(_coded(spark, sf), _code_map(spark, sf), True, map_keys=["source_key", "font"])
     return recover_rtl_text(decoded)
