@@ -1,3 +1,3 @@
 """Imports every plan module so that each registers itself."""
 
-from pageframe.plans import forms, geometry, redact, runs, sources, text  # noqa: F401
+from pageframe.plans import edits, forms, geometry, redact, reports, runs, sources, text  # noqa: F401
