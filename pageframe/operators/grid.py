@@ -11,6 +11,7 @@ from pageframe.functions.geometry import rects_overlap
 
 CELL = 64.0
 MOST_CELLS = 4096
+_PAGE_CELL = -(1 << 62)
 SMALL_ROWS = 1_000_000
 
 
@@ -50,37 +51,34 @@ def overlap_join(
     cell: float = CELL,
     all_small: bool = False,
 ) -> DataFrame:
-    """All pairs of rects with equal keys that overlap strictly.
+    """All pairs of rects with equal keys that overlap strictly, each side read once.
 
     Each rect is repeated in the cells it covers and joined by cell, so one
     crowded page spreads over many tasks. A pair that meets in several cells is
     kept only in the cell holding the lower left corner of the intersection,
-    which needs no de-duplication shuffle. Rects that cover more cells than
-    MOST_CELLS skip the grid and join by key; `all_small` leaves that branch out
-    when the caller knows that no rect is so large.
+    which needs no de-duplication shuffle. A rect that covers more than
+    MOST_CELLS cells is not repeated; it meets the other side in one of two page
+    cells, which hold only such rects on the left or on the right. `all_small`
+    leaves the page cells out when the caller knows that no rect is so large.
     """
     keys = list(keys)
     lrect, rrect = F.col(left_rect), F.col(right_rect)
-
-    def by_cell(l: DataFrame, r: DataFrame) -> DataFrame:
-        lcells = l.withColumn("_cell", F.explode(_cells(lrect, cell)))
-        rcells = r.withColumn("_cell", F.explode(_cells(rrect, cell)))
-        lcells = lcells.select("*", F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy")).drop("_cell")
-        rcells = rcells.select("*", F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy")).drop("_cell")
-        corner_x = F.floor(F.greatest(lrect["x"], rrect["x"]) / cell)
-        corner_y = F.floor(F.greatest(lrect["y"], rrect["y"]) / cell)
-        pairs = lcells.join(rcells, [*keys, "_cx", "_cy"])
-        return pairs.where(
-            rects_overlap(lrect, rrect) & (F.col("_cx") == corner_x) & (F.col("_cy") == corner_y)
-        ).drop("_cx", "_cy")
-
-    if all_small:
-        return by_cell(left, right)
-    lsmall, rsmall = _cell_count(lrect, cell) <= MOST_CELLS, _cell_count(rrect, cell) <= MOST_CELLS
-    near = by_cell(left.where(lsmall), right.where(rsmall))
-    wide_left = left.where(~lsmall).join(right, keys).where(rects_overlap(lrect, rrect))
-    wide_right = left.where(lsmall).join(right.where(~rsmall), keys).where(rects_overlap(lrect, rrect))
-    return near.unionByName(wide_left).unionByName(wide_right)
+    place = lambda side: F.array(F.struct(F.lit(_PAGE_CELL).alias("cx"), F.lit(side).cast("bigint").alias("cy")))
+    none = F.array().cast("array<struct<cx:bigint,cy:bigint>>")
+
+    def spread(df: DataFrame, r: Column, with_small: Column, with_large: Column) -> DataFrame:
+        small = _cell_count(r, cell) <= MOST_CELLS
+        cells = F.concat(_cells(r, cell), none if all_small else with_small)
+        placed = cells if all_small else F.when(small, cells).otherwise(with_large)
+        return df.select("*", F.explode(placed).alias("_c")).select("*", F.col("_c.cx").alias("_cx"), F.col("_c.cy").alias("_cy")).drop("_c")
+
+    # Page cell 0 holds large left rects, page cell 1 large right rects.
+    lrows = spread(left, lrect, place(1), place(0))
+    rrows = spread(right, rrect, place(0), F.concat(place(0), place(1)))
+    home = (F.col("_cx") == F.floor(F.greatest(lrect["x"], rrect["x"]) / cell)) & (
+        F.col("_cy") == F.floor(F.greatest(lrect["y"], rrect["y"]) / cell))
+    pairs = lrows.join(rrows, [*keys, "_cx", "_cy"])
+    return pairs.where(rects_overlap(lrect, rrect) & (home | (F.col("_cx") == _PAGE_CELL))).drop("_cx", "_cy")
 
 
 def band_join(

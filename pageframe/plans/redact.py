@@ -103,12 +103,12 @@ def _shows(spark, sf):
         *PAGE, F.col("index").alias("op_index"), "str", F.when(bad, "F9").otherwise("F1").alias("font"), F.lit(12.0).alias("size"),
         F.lit(0.0).alias("tc"), F.lit(0.0).alias("tw"), F.lit(1.0).alias("th"), matrix(1, 0, 0, 1, F.col("x"), F.col("y")).alias("tm"),
         F.array(F.struct(F.encode("str", "ISO-8859-1").alias("bytes"), F.lit(None).cast("double").alias("spacer"))).alias("segments"))
-    docs = lines.select("source_key").distinct()
+    docs = reds.select("source_key").distinct()
     fonts = docs.select("source_key", F.explode(F.array(
         F.struct(F.lit("F1").alias("font"), F.lit("TrueType").alias("subtype"), F.lit("WinAnsiEncoding").alias("encoding"), F.lit(True).alias("has_widths"), F.lit(500.0).alias("default_width")),
         F.struct(F.lit("F9").alias("font"), F.lit("Type3").alias("subtype"), F.lit("WinAnsiEncoding").alias("encoding"), F.lit(False).alias("has_widths"), F.lit(None).cast("double").alias("default_width")))).alias("f")).select("source_key", "f.*")
     widths = docs.select("source_key", F.lit("F1").alias("font"), F.explode(F.sequence(F.lit(33), F.lit(126))).alias("gid"), F.lit(500.0).alias("width"))
-    return reds, shows, fonts, widths
+    return reds, cut_lineage(shows), fonts, widths
 
 
 _GLYPHS = """
