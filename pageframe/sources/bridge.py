@@ -188,11 +188,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than cores (a small file is one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, sf: str, where=None) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     if where is not None:
         docs = docs.where(where)
-    return text_lines(docs, "text").withColumn("source_key", F.concat_ws("/", "source", "doc_id"))
+    return text_lines(spread(docs), "text").withColumn("source_key", F.concat_ws("/", "source", "doc_id"))
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:

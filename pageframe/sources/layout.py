@@ -18,7 +18,8 @@ BLANK_PREFIX = "__blank__:"
 PNG_MAGIC, JPEG_MAGIC = "89504E47", "FFD8FF"
 FILE_REASON = "{name} is {size}; this browser build currently supports PDFs up to {limit}."
 PAGE_REASON = "{name} has {count} pages; this browser build currently supports up to {limit} pages at a time."
-LONG_LINE = 1 << 14
+LONG_LINE = 1 << 20
+BLOCK_CHARS = 256
 
 
 def read_layout(spark: SparkSession, path: str, fmt: str = "parquet") -> dict[str, DataFrame]:
@@ -59,19 +60,28 @@ def text_lines(df: DataFrame, text_col: str, lines_per_page: int = 50) -> DataFr
 
 
 def _token_offsets(lines: DataFrame, long_line: int) -> DataFrame:
-    """Explode lines into tokens with their character offset.
+    """Explode lines into tokens with their number and character offset.
 
-    Up to `long_line` characters the offset is read off the line itself, so the
-    text never leaves its partition. Longer lines, where that would grow with
-    the square of the length, take a running sum over their own tokens.
+    A line is cut into pieces of about BLOCK_CHARS characters that end after a
+    space. Pieces know what lies before them from the piece lengths, tokens from
+    their own piece, so the work grows with the text and nothing leaves its
+    partition. Lines above `long_line` characters, where the list of pieces
+    itself gets long, take a running sum over their tokens instead.
     """
-    tokens = F.posexplode(F.split("line", " ")).alias("tok_no", "str")
-    short = lines.where(F.length("line") <= long_line).select("*", tokens)
-    head = F.call_function("substring_index", F.col("line"), F.lit(" "), F.col("tok_no"))
-    before = F.when(F.col("tok_no") == 0, 0).otherwise(F.length(head) + 1)
-    short = short.withColumn("offset", before).drop("line")
+    others = [F.col(c) for c in lines.columns if c != "line"]
+    short = lines.where(F.length("line") <= long_line).withColumn(
+        "_blocks", F.regexp_extract_all("line", F.lit(rf"[\s\S]{{1,{BLOCK_CHARS}}}[^ ]* ?"), 0))
+    lengths = F.transform("_blocks", F.length)
+    spaces = F.transform("_blocks", lambda b: F.length(b) - F.length(F.translate(b, " ", "")))
+    short = short.select(*others, lengths.alias("_n"), spaces.alias("_s"), F.posexplode("_blocks").alias("_b", "_block"))
+    before = lambda sizes: F.aggregate(F.slice(sizes, 1, F.col("_b")), F.lit(0), lambda a, n: a + n)
+    short = short.select(*others, before("_n").alias("_chars"), before("_s").alias("_toks"), "_block")
+    short = short.select(*others, "_chars", "_toks", "_block", F.posexplode(F.split("_block", " ")).alias("_i", "str"))
+    head = F.call_function("substring_index", F.col("_block"), F.lit(" "), F.col("_i"))
+    inner = F.when(F.col("_i") == 0, 0).otherwise(F.length(head) + 1)
+    short = short.select(*others, (F.col("_toks") + F.col("_i")).alias("tok_no"), "str", (F.col("_chars") + inner).alias("offset"))
     long = lines.where(F.length("line") > long_line).withColumn("_line_id", F.monotonically_increasing_id())
-    long = long.select("*", tokens).drop("line")
+    long = long.select(*others, "_line_id", F.posexplode(F.split("line", " ")).alias("tok_no", "str"))
     order = Window.partitionBy("_line_id").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
     long = long.withColumn("offset", F.coalesce(F.sum(F.length("str") + 1).over(order), F.lit(0)).cast("int"))
     return short.unionByName(long.drop("_line_id"))
