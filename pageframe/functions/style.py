@@ -42,8 +42,3 @@ def style_overrides_fallback(style: Column, fallback: Column) -> Column:
     for f in ("font_family", "font_size", "bold", "italic", "dir"):
         found = found | _differs(style, fallback, f)
     return F.coalesce(found, F.lit(False))
-
-
-def style_key(style: Column) -> Column:
-    """Comparable text for a style; an absent style equals only an absent style or all-null fields differ."""
-    return F.to_json(style)

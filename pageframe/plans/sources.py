@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageframe.functions.geometry import js_round  # noqa: F401
 from pageframe.operators.cmap import explode_cmap
 from pageframe.plans.registry import plan
 from pageframe.session import fresh_path

@@ -5,7 +5,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from pageframe.functions import script as sc
 from pageframe.operators import blocks as bl
 from pageframe.operators import runs as rn
 
@@ -109,5 +108,3 @@ def test_pair_decorations_in_turn(spark):
     pairs = sorted((r.shape_id, r.run_id, r.kind) for r in rn.pair_decorations(shapes, lines).collect())
     assert pairs == [("s0", "r0", "underline"), ("s1", "r1", "underline")]
 
-
-assert sc
