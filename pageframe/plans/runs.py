@@ -81,7 +81,7 @@ def win_3(spark, sf):
     u AS (SELECT source_key, page_index, run_no, pos, k, bef, aft FROM c
           UNION ALL SELECT source_key, page_index, run_no, pos, 0, prev_end + (st - prev_end) * ((g - 1) / sp), prev_end + (st - prev_end) * (g / sp)
           FROM (SELECT *, unnest(generate_series(1, sp)) AS g FROM s WHERE prev_end IS NOT NULL) WHERE prev_end IS NOT NULL AND NOT regexp_matches(c0, '[{sc.MARK_CLASS}]'))
-    SELECT source_key, page_index, run_no, count(*) AS n, sum(CAST(floor(bef) AS BIGINT)) AS before_sum, sum(CAST(floor(aft) AS BIGINT)) AS after_sum FROM u GROUP BY ALL"""))
+    SELECT source_key, page_index, run_no, count(*) AS n, CAST(sum(floor(bef)) AS BIGINT) AS before_sum, CAST(sum(floor(aft)) AS BIGINT) AS after_sum FROM u GROUP BY ALL"""))
 def win_4(spark, sf):
     chars = rn.char_edges(_ordered(spark, sf))
     return chars.groupBy("source_key", "page_index", "run_no").agg(
