@@ -135,7 +135,11 @@ def edt_1(spark, sf):
     return ed.reduce_log(_log(spark, sf))
 
 
-@plan("edt_2")
+@plan("edt_2", duck("""
+    WITH a AS (SELECT i.doc, concat('t', i.pos) AS id, i.slot_id, i.source_key, i.source_page_index AS pg, t.slot_id AS s0, t.source_key AS k0, t.source_page_index AS p0, u.slot_id AS s2, u.source_key AS k2, u.source_page_index AS p2
+        FROM {slots} i LEFT JOIN {slots} t ON t.doc = i.doc AND t.pos = i.pos % 3 AND t.kind = 'page' AND t.slot_id <> i.slot_id LEFT JOIN {slots} u ON u.doc = i.doc AND u.pos = (i.pos + 2) % 3 AND u.kind = 'page' AND u.slot_id <> i.slot_id)
+    SELECT doc, id, coalesce(s0, s2, slot_id) AS slot_id, CASE WHEN s0 IS NOT NULL THEN k0 WHEN s2 IS NOT NULL THEN k2 ELSE source_key END AS source_key, CASE WHEN s0 IS NOT NULL THEN p0 WHEN s2 IS NOT NULL THEN p2 ELSE pg END AS page_index,
+           CASE WHEN s0 IS NOT NULL THEN 'v0' ELSE 'v2' END AS value FROM a"""))
 def edt_2(spark, sf):
     """Text inserts patched, some of them moved between the slots of their conversation."""
     slots = bridge.view(spark, sf, "slots")

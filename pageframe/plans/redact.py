@@ -246,15 +246,20 @@ def win_10(spark, sf):
     return states.select(*PAGE, "op_index", "op", F.get("tm", F.lit(4)).alias("tx"), F.get("tm", F.lit(5)).alias("ty"), "font", "size", "tc", "tl")
 
 
-@plan("win_12", duck("""
-    WITH RECURSIVE """ + _WALK + """,
+_POINTS = """
     b AS (SELECT w.*, o.k, o.dx, CASE o.op WHEN 're' THEN least(o.k, o.k + o.dx) ELSE o.k END AS u0, CASE o.op WHEN 're' THEN greatest(o.k, o.k + o.dx) ELSE o.k END AS u1,
                  CASE o.op WHEN 're' THEN least(o.dx, o.dx + o.k) ELSE o.dx END AS v0, CASE o.op WHEN 're' THEN greatest(o.dx, o.dx + o.k) ELSE o.dx END AS v1
-          FROM w JOIN o ON o.source_key = w.source_key AND o.page_index = w.page_index AND o.pos = w.pos),
+          FROM w JOIN o ON o.source_key = w.source_key AND o.page_index = w.page_index AND o.pos = w.pos)"""
+_MEMBERS = """
     p AS (SELECT *, coalesce(sum(CASE WHEN op IN ('S', 'f', 'n', 'Q') THEN 1 ELSE 0 END) OVER (PARTITION BY source_key, page_index ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS path,
                  coalesce(last_value(CASE WHEN op = 'w' THEN k END IGNORE NULLS) OVER (PARTITION BY source_key, page_index ORDER BY pos), 1) AS lw FROM b),
     g AS (SELECT source_key, page_index, path, min(u0 + s.mx) FILTER (op IN ('m', 'l', 're')) AS x0, min(v0 + s.my) FILTER (op IN ('m', 'l', 're')) AS y0, max(u1 + s.mx) FILTER (op IN ('m', 'l', 're')) AS x1,
-                 max(v1 + s.my) FILTER (op IN ('m', 'l', 're')) AS y1, max(op_index) FILTER (op IN ('S', 'f')) AS paint_index, max(lw) FILTER (op IN ('S', 'f')) AS lw FROM p GROUP BY ALL)
+                 max(v1 + s.my) FILTER (op IN ('m', 'l', 're')) AS y1, max(op_index) FILTER (op IN ('S', 'f')) AS paint_index, max(lw) FILTER (op IN ('S', 'f')) AS lw FROM p GROUP BY ALL)"""
+
+
+@plan("win_12", duck("""
+    WITH RECURSIVE """ + _WALK + """,
+""" + _POINTS + ", " + _MEMBERS + """
     SELECT source_key, page_index, paint_index, x0 - greatest(1, lw / 2) AS x, y0 - greatest(1, lw / 2) AS y, x1 - x0 + greatest(1, lw / 2) * 2 AS w, y1 - y0 + greatest(1, lw / 2) * 2 AS h
     FROM g WHERE paint_index IS NOT NULL AND x0 IS NOT NULL"""))
 def win_12(spark, sf):
@@ -278,13 +283,26 @@ def win_13_images(spark, sf):
     return placed.select(*PAGE, "image_id", "name", "do_index", "q_index", "cm_index", "rect.x", "rect.y", "rect.w", "rect.h")
 
 
-@plan("win_13_shapes")
+@plan("win_13_shapes", duck("WITH RECURSIVE " + _WALK + ", " + _POINTS + """,
+    x AS (SELECT *, len(saved) AS dep, s.q AS q, last_value(CASE WHEN op = 'q' AND len(saved) = 1 THEN op_index END IGNORE NULLS) OVER (PARTITION BY source_key, page_index ORDER BY pos) AS outer_q FROM b),
+    y AS (SELECT *, coalesce(sum(CASE WHEN op IN ('S', 'f', 'n') THEN 1 ELSE 0 END) OVER (PARTITION BY source_key, page_index, q ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS path FROM x WHERE dep > 0),
+    a AS (SELECT source_key, page_index, outer_q, q, path, min(u0 + s.mx) FILTER (op IN ('m', 'l', 're')) AS x0, min(v0 + s.my) FILTER (op IN ('m', 'l', 're')) AS y0, max(u1 + s.mx) FILTER (op IN ('m', 'l', 're')) AS x1,
+                 max(v1 + s.my) FILTER (op IN ('m', 'l', 're')) AS y1, bool_or(op IN ('S', 'f')) AS paint, bool_or(op IN ('BT', 'Do')) AS other FROM y GROUP BY source_key, page_index, outer_q, q, path),
+    k AS (SELECT source_key, page_index, outer_q, min(x0) FILTER (paint) AS x0, min(y0) FILTER (paint) AS y0, max(x1) FILTER (paint) AS x1, max(y1) FILTER (paint) AS y1, bool_or(paint) AS paint, bool_or(other) AS other FROM a GROUP BY ALL),
+    e AS (SELECT source_key, page_index, outer_q, min(op_index) AS end_index FROM x WHERE op = 'Q' AND dep = 0 AND outer_q IS NOT NULL GROUP BY ALL),
+    z AS (SELECT k.*, end_index, x1 - x0 AS bw, y1 - y0 AS bh FROM k JOIN e USING (source_key, page_index, outer_q) WHERE paint AND NOT other AND x0 IS NOT NULL)
+    SELECT source_key, page_index, concat('p', page_index + 1, '-s', row_number() OVER (PARTITION BY source_key, page_index ORDER BY end_index) - 1) AS shape_id, outer_q AS q_index, end_index,
+        CASE WHEN bw > 0.01 THEN x0 WHEN bh > 0.01 THEN x0 - 0.5e0 ELSE (x0 + x1) / 2 - 1 END AS x, CASE WHEN bh > 0.01 THEN y0 WHEN bw > 0.01 THEN y0 - 0.5e0 ELSE (y0 + y1) / 2 - 1 END AS y,
+        CASE WHEN bw > 0.01 THEN bw WHEN bh > 0.01 THEN 1e0 ELSE 2e0 END AS w, CASE WHEN bh > 0.01 THEN bh WHEN bw > 0.01 THEN 1e0 ELSE 2e0 END AS h FROM z"""))
 def win_13_shapes(spark, sf):
     shapes = ct.shape_blocks(_user_ops(spark, sf))
     return shapes.select(*PAGE, "shape_id", "q_index", "end_index", "rect.x", "rect.y", "rect.w", "rect.h")
 
 
-@plan("red_6_paths")
+@plan("red_6_paths", duck("WITH RECURSIVE " + _WALK + ", " + _POINTS + ", " + _MEMBERS + """,
+    h AS (SELECT source_key, page_index, path FROM g WHERE paint_index IS NOT NULL AND x0 IS NOT NULL AND x0 - greatest(1, lw / 2) < 4000 AND x1 + greatest(1, lw / 2) > 0
+          AND y0 - greatest(1, lw / 2) < 50 AND y1 + greatest(1, lw / 2) > 20)
+    SELECT p.source_key, p.page_index, p.op_index FROM p JOIN h USING (source_key, page_index, path) WHERE p.op IN ('m', 'l', 're', 'S', 'f')"""))
 def red_6_paths(spark, sf):
     """Painted paths under a band across every page."""
     members = cut_lineage(ct.path_members(_user_ops(spark, sf)))
