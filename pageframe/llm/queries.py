@@ -26,3 +26,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(found["fp"]).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pageframe.llm import substrings
+
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
