@@ -34,19 +34,20 @@ def boilerplate(lines: DataFrame, min_sites: int, log_k: int = 10, errors: float
     return sure.select(*KEY, "first").unionByName(unsure.join(counted.select(*KEY), KEY))
 
 
-def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10) -> DataFrame:
+def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, kept, n_lines, n_removed): the text without lines that at least `min_sites` sites have.
 
     Lines are parted by newlines and compared without blanks at their ends; blank lines stay. A line stays where it
     comes first, by doc_id, then by place, so a text that many sites copy is whole in one document. A null text counts as
     empty and has one blank line; a null site is a site of its own; rows without doc_id come last. Equal rows get equal
-    results. Very long texts count whole. Other columns are ignored, and an empty table stays empty.
+    results. Very long texts count whole. Other columns are ignored but for those named in `carry`; an empty table stays empty.
     """
     rows = docs.select(
         F.col("doc_id").alias("_id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tag"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
         F.coalesce(F.col(site).cast("string"), F.lit("")).alias("_site"),
+        *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
     split = rows.select("_id", "_tag", "_site", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line")).where("trim(_line) <> ''")
     at = F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("_pos").alias("pos"))
@@ -54,7 +55,8 @@ def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source
     common = boilerplate(lines, min_sites)
     again = lines.join(common, KEY).where("NOT (at <=> first)")
     removed = again.groupBy(F.col("at.id").alias("_id"), F.col("at.tag").alias("_tag")).agg(F.collect_set("at.pos").alias("_gone"))
-    joined = rows.alias("r").join(removed.alias("g"), F.expr("r._id <=> g._id AND r._tag = g._tag"), "left").select("r._id", "r._text", "g._gone")
+    joined = rows.alias("r").join(removed.alias("g"), F.expr("r._id <=> g._id AND r._tag = g._tag"), "left")
+    joined = joined.select("r._id", "r._text", "g._gone", *[F.col(f"r._carry_{c}") for c in carry])
     parts = F.split("_text", "\n", -1)
     kept = F.when(
         F.col("_gone").isNotNull(), F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("_gone", i)), "\n")
@@ -64,6 +66,7 @@ def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source
         kept.alias("kept"),
         F.size(parts).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.col(f"_carry_{c}").alias(c) for c in carry],
     )
 
 

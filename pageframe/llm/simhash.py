@@ -118,7 +118,7 @@ def within_chain(difference: np.ndarray, start: np.ndarray, segments: int, bits:
     return good
 
 
-def reach_all(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+def reach_all(fp: np.ndarray, node: np.ndarray, bits: int, check: np.ndarray, check_bits: int) -> tuple[list[int], list[int]]:
     """Spanning forest of the links within one large group: a search whose pool of unreached rows only shrinks."""
     a, b = [], []
     rest = np.arange(len(fp))
@@ -127,6 +127,7 @@ def reach_all(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[list[int], l
         while front and len(rest):
             here = front.pop()
             near = np.bitwise_count(fp[rest] ^ fp[here]) <= bits
+            near &= np.bitwise_count(check[rest] ^ check[here]) <= check_bits
             hit = rest[near]
             if len(hit):
                 a += [int(node[here])] * len(hit)
@@ -136,28 +137,29 @@ def reach_all(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[list[int], l
     return a, b
 
 
-def _links(segments: int, bits: int):
+def _links(segments: int, bits: int, check_bits: int):
     starts = np.array([s for s, _ in key_patterns(segments, bits)])
 
-    def links(kind: np.ndarray, group: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(kind: np.ndarray, group: np.ndarray, fp: np.ndarray, node: np.ndarray, check: np.ndarray) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.array([0])
         sizes = np.diff(edges)
         per_row = np.repeat(sizes, sizes)
         a, b = [], []
         small = np.flatnonzero((per_row > 1) & (per_row <= SMALL))
-        kind_s, group_s, fp_s, node_s, size_s = kind[small], group[small], fp[small], node[small], per_row[small]
+        kind_s, group_s, fp_s, node_s, check_s, size_s = (x[small] for x in (kind % len(starts), group, fp, node, check, per_row))
         for step in range(1, SMALL):
             wide = size_s > step
             if not wide.any():
                 break
-            kind_s, group_s, fp_s, node_s, size_s = kind_s[wide], group_s[wide], fp_s[wide], node_s[wide], size_s[wide]
+            kind_s, group_s, fp_s, node_s, check_s, size_s = (x[wide] for x in (kind_s, group_s, fp_s, node_s, check_s, size_s))
             pair = np.flatnonzero(group_s[:-step] == group_s[step:])
             good = within_chain(fp_s[pair] ^ fp_s[pair + step], starts[kind_s[pair]], segments, bits)
+            good &= np.bitwise_count(check_s[pair] ^ check_s[pair + step]) <= check_bits
             a.append(node_s[pair[good]])
             b.append(node_s[pair[good] + step])
         for i in np.flatnonzero(sizes > SMALL):
             rows = slice(edges[i], edges[i + 1])
-            more_a, more_b = reach_all(fp[rows], node[rows], bits)
+            more_a, more_b = reach_all(fp[rows], node[rows], bits, check[rows], check_bits)
             a.append(np.array(more_a, np.int64))
             b.append(np.array(more_b, np.int64))
         if a:
@@ -185,29 +187,41 @@ def _links(segments: int, bits: int):
         changed = np.zeros(len(cols[0]), bool)
         for c in cols[:4]:
             changed[1:] |= c[1:] != c[:-1]
-        yield from links(cols[0], np.cumsum(changed), cols[4].view(np.uint64), cols[5])
+        yield from links(cols[0], np.cumsum(changed), cols[4].view(np.uint64), cols[5], cols[6].view(np.uint64))
 
     return run
 
 
-def near_links(nodes: DataFrame, bits: int = 4, segments: int = 7, block: int = 4096) -> DataFrame:
-    """Links (a, b) that connect whatever fingerprints differ in at most `bits` places.
+def near_links(
+    nodes: DataFrame,
+    bits: int = 4,
+    segments: int = 7,
+    block: int = 4096,
+    prints: tuple[str, ...] = ("fp",),
+    check: str = "fp",
+    check_bits: int = 64,
+) -> DataFrame:
+    """Links (a, b) that connect whatever nodes have a print in which they differ in at most `bits` places.
 
-    `nodes` holds distinct (fp, node). Every such pair is joined by a path of returned links.
+    `nodes` holds distinct prints and a node each. The column `check` may differ in at most `check_bits` places too.
+    Every such pair is joined by a path of returned links.
     """
     patterns = key_patterns(segments, bits)
-    keys = F.array(
-        *[F.struct(F.lit(i).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("part")) for i, (_, mask) in enumerate(patterns)]
-    )
-    keyed = nodes.select("fp", "node", F.explode(keys).alias("k")).select("k.kind", "k.part", "fp", "node")
+    kinds = [
+        F.struct(F.lit(j * len(patterns) + i).alias("kind"), F.col(p).bitwiseAND(F.lit(signed(mask))).alias("part"), F.col(p).alias("fp"))
+        for j, p in enumerate(prints)
+        for i, (_, mask) in enumerate(patterns)
+    ]
+    keyed = nodes.select("node", F.col(check).alias("check"), F.explode(F.array(*kinds)).alias("k"))
+    keyed = keyed.select("k.kind", "k.part", "k.fp", "node", "check")
     many = keyed.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     many = many.select("kind", "part", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
     sized = keyed.join(many, ["kind", "part"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int")
+    own = F.pmod(F.xxhash64("fp", "node"), F.col("n_blocks")).cast("int")
     met = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    placed = met.select("kind", "part", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp", "node")
+    placed = met.select("kind", "part", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp", "node", "check")
     group = ["kind", "part", "p", "q"]
-    return placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(_links(segments, bits), LINK)
+    return placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(_links(segments, bits, check_bits), LINK)
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text", bits: int = 4, width: int = 4, segments: int = 7) -> DataFrame:
@@ -223,3 +237,39 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bits: int = 4, w
     centres = connected_components(links)
     classes = nodes.join(centres, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _word_prints(text: str | None, prints: int, width: int) -> list[int]:
+    """Fingerprints of the set of words under `prints` hash functions, then the one of shingles of `width` words."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
+    out = []
+    for turn in range(prints):
+        mixed = (hashes ^ np.uint64(turn)) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        out.append(signed(majority(mixed ^ (mixed >> np.uint64(29)))))
+    return [*out, signed(majority(shingle_hashes(text, width)))]
+
+
+def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, bits: int = 4, prints: int = 3, similar_bits: int = 12) -> DataFrame:
+    """(doc_id, component_id) of near copies whose shingles of `width` words are about 0.8 alike.
+
+    One edited word changes `width` shingles, so texts of similarity 0.8 differ in some ten bits of a shingle
+    fingerprint, too many for long keys. Candidates are found in `prints` fingerprints of the set of words instead,
+    where such texts differ in about four bits: within `bits` places in one of them by the pigeonring filter. They
+    link if their shingle fingerprints differ in at most `similar_bits` places: 64 acos(2s / (1 + s)) / pi is 9.7 for
+    s = 0.8, and two more for the spread. Nulls, empty texts and repeated rows are treated as in `near_duplicate_classes`.
+    """
+    names = [*(f"w{i}" for i in range(prints)), "shingles"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([_word_prints(t, prints, width) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(names))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["doc_id", *names])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    marked = written(over_batches(source, run, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "prints")
+    nodes = written(marked.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
+    links = near_links(nodes.where("node IS NOT NULL"), bits, prints=tuple(names[:-1]), check="shingles", check_bits=similar_bits)
+    centres = connected_components(links)
+    classes = nodes.join(centres, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return marked.join(classes, names).select("doc_id", "component_id")

@@ -240,6 +240,7 @@ def _cold(lead: list[bytes], place: np.ndarray, body: list[bytes], length: int)
     return row[begin], (place >> 32)[row[begin]] + step[begin], np.diff(np.r_[first, len(hit)])
 
 
+NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 FOUND = "id long, start long, count long, tag int, edge binary"
 
 
@@ -277,13 +278,14 @@ def _bucket(length: int, gram: int):
 BUCKET = pa.schema([("lead", pa.binary()), ("id", pa.int64()), ("place", pa.int64()), ("body", pa.binary())])
 
 
-def _tagged(docs: DataFrame, text: str) -> DataFrame:
+def _tagged(docs: DataFrame, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     content = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.crc32(F.encode(content, "utf-8")).bitwiseAND(F.lit(TAG)).cast("int").alias("tag"),
         content.alias("_text"),
         F.col("doc_id").cast("long").alias("doc_id"),
+        *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
 
 
@@ -344,16 +346,16 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return fit
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_text: bool = False, gram: int = GRAM, hot: int = 4096) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, keep_text: bool = False, gram: int = GRAM, hot: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `keep_text` the kept text, cut at whole characters, as `kept`.
 
     A null text counts as empty; texts shorter than `length` bytes keep everything, very long ones are cut into
     overlapping tiles, so nothing is missed. Repeated rows repeat each other and lose every byte from `length` on.
-    A row without doc_id counts like any other. Other columns are ignored; an empty table stays empty.
+    A row without doc_id counts like any other. Other columns are ignored but for those named in `carry`; an empty table stays empty.
     """
     runs = repeated_runs(docs, text, length, gram, hot)
     per_text = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    keyed = _tagged(docs, text)
+    keyed = _tagged(docs, text, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,9 +373,11 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k
                 for column, value in zip(out, values):
                     column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds)), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(arrays, [*NAMES, *carry])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    found = keyed.join(per_text, ["id", "tag"], "left").select("doc_id", "_text", "runs").mapInArrow(run, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    carried = [f"_carry_{c}" for c in carry]
+    found = keyed.join(per_text, ["id", "tag"], "left").select("doc_id", "_text", "runs", *carried).mapInArrow(run, schema)
     return found if keep_text else found.drop("kept")
