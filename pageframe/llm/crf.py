@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageframe.llm.store import sliced
+
 KINDS = 8
-PIECE = 1 << 23
+PIECE = 1 << 21
 
 
 def _byte_kinds() -> np.ndarray:
@@ -164,7 +166,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rounds: int = 60, ridge:
     return Model(mean, scale, theta[:width], float(theta[width]), theta[-4:].reshape(2, 2))
 
 
-def quality(model: Model, texts: list[str | None], cells: int = 1 << 20) -> np.ndarray:
+def quality(model: Model, texts: list[str | None], cells: int = 1 << 16) -> np.ndarray:
     """Length-weighted mean marginal of each text; chains of like length run side by side, at most `cells` lines at once."""
     found = np.zeros(len(texts))
     waiting: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
@@ -199,7 +201,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", most_doc
     chosen = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             keep = [i for i, t in enumerate(texts) if (t or "").count("\n") < most_lines]
             values = [line_features(texts[i])[0].astype("<f4").tobytes() for i in keep]
@@ -224,10 +226,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     place = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found = quality(model, batch.column(place).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], [*keep, "score"])
+        for batch in sliced(batches):
+            found = quality(model, batch.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], [*keep, "score"])
 
     result = docs.select(*sent).mapInArrow(run, schema)
     return result.select(*keep, held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= limit, 1).otherwise(0).alias("predicted"))

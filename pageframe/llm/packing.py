@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageframe.llm.store import written
+from pageframe.llm.store import sliced, written
 
 SIZE = 4096
 END_ID = 1
-CACHED = 300_000
+CACHED = 200_000
 _encoders: dict[str, "WordIds"] = {}
 
 
@@ -75,9 +75,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, text: str = "text", size: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             row, piece, length, crc = [], [], [], []
             for i, content in enumerate(batch.column(1).to_pylist()):
                 data = b"".join([words[w] for w in (content or "").encode("utf-8", "surrogatepass").split()]) + end

@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.llm.store import written
+from pageframe.llm.store import sliced, written
 
 LENGTH = 200
 GRAM = 32
-TILE = 1 << 20
+TILE = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -84,7 +84,7 @@ def _minima(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def tiles(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of about a megabyte: bytes, then for each part of a text its row, its place in the text and its place in the tile.
+    """Pieces of at most `TILE` bytes: bytes, then for each part of a text its row, its place in the text and its place in the tile.
 
     Parts of one text overlap by length - 1 bytes, so each window lies in one part.
     """
@@ -154,7 +154,7 @@ def _encoded(column: pa.Array) -> list[bytes]:
 
 def _stretches(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_numpy(), _encoded(batch.column(1))
             row, start, count, cut, gram_hash, whole = anchors(texts, length, gram)
             tags = np.array([zlib.crc32(t) & TAG for t in texts], np.int64)
@@ -168,7 +168,7 @@ def _suffixes(length: int, gram: int):
     """Rows to sort: a stretch with its bytes under its gram, or each window of a hot gram under its whole key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: tuple[list, list, list, list] = ([], [], [], [])
             for id_, text, parts in zip(batch.column(0).to_pylist(), _encoded(batch.column(1)), batch.column(2).to_pylist()):
                 for part in parts:
@@ -358,7 +358,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, k
     keyed = _tagged(docs, text, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[], [], [], [], []]
             for content, runs_ in zip(_encoded(batch.column(1)), batch.column(2).to_pylist()):
                 spans = covered([(r["start"], r["count"]) for r in runs_ or []], length)
