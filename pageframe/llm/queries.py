@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import bpe, crf, lines, packing, simhash, substrings
+from pageframe.llm import bpe, crf, lines, packing, simhash, substrings, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op5_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.fingerprints(table(spark, sf_dir, "documents"))
