@@ -23,6 +23,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def located(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI, and the path in it; a plain path is a local one."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
     return fs.FileSystem.from_uri(uri)
 
 
