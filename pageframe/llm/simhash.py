@@ -215,7 +215,8 @@ def near_links(
     keyed = nodes.select("node", F.col(check).alias("check"), F.explode(F.array(*kinds)).alias("k"))
     keyed = keyed.select("k.kind", "k.part", "k.fp", "node", "check")
     many = keyed.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    many = many.select("kind", "part", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
+    # written, so that its size is known: Spark broadcasts it below its own threshold and joins by shuffle above
+    many = written(many.select("kind", "part", F.ceil(F.col("n") / block).cast("int").alias("n_blocks")), "many")
     sized = keyed.join(many, ["kind", "part"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp", "node"), F.col("n_blocks")).cast("int")
     met = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
