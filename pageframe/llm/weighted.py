@@ -16,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageframe.llm.store import written
+
 BUCKETS = 1 << 14
-SAMPLES = 48
+SAMPLES = 32
 BLOCK = 64
 
 
@@ -58,7 +60,7 @@ def with_next(rows: DataFrame, order: list[str], value: str, name: str) -> DataF
     heads = heads.select("_super", F.lead("_head").over(Window.orderBy("_super")).alias("_far"), F.min("_head").over(Window.partitionBy()).alias("_top"))
     after = near.join(heads, "_super").select(F.coalesce("_after", "_far", "_top").alias("_next"), F.col("_block"))
     carried = after.join(firsts.select(F.col("_block").alias("_next"), "_first"), "_next").select("_block", "_first")
-    joined = marked.join(carried, "_block", "left")
+    joined = marked.join(written(carried, "heads"), "_block", "left")
     return joined.select(*rows.columns, F.coalesce("_there", "_first")[value].alias(name))
 
 
@@ -101,9 +103,10 @@ def fingerprints(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, sa
     valued = weights.join(table, "bucket").withColumn("_lnw", lnw)
     least = valued.groupBy(*keys, "_side").agg(*[F.min(value(k)).alias(f"m{k}") for k in range(samples)])
     digits = [F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(f"m{k}"), 48))), 4, "0") for k in range(samples)]
-    prints = least.select(*keys, "_side", F.concat(*digits).alias("_print"), F.array(*[f"m{k}" for k in range(samples)]).alias("_least"))
+    prints = least.select(*keys, "_side", F.concat(*digits).alias("_print"))
+    prints = written(prints.select(*keys, "_side", "_print"), "prints")
     pair = prints.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_side") == side, F.struct("_print", "_least"))).alias(f"_p{side}") for side in (0, 1)]
+        *[F.max(F.when(F.col("_side") == side, F.col("_print"))).alias(f"_p{side}") for side in (0, 1)]
     )
     nothing = F.lit("0" * 4 * samples)
     both = edited_rows.select(*keys, "doc_id", "n_chars", "_edited").join(pair, keys, "left")
@@ -112,9 +115,10 @@ def fingerprints(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, sa
         "doc_id",
         "n_chars",
         F.sha2("_edited", 256).alias("edited_sha256"),
-        F.coalesce(F.col("_p0._print"), nothing).alias("fingerprint"),
-        F.coalesce(F.col("_p1._print"), nothing).alias("edited_fingerprint"),
+        F.coalesce(F.col("_p0"), nothing).alias("fingerprint"),
+        F.coalesce(F.col("_p1"), nothing).alias("edited_fingerprint"),
     )
+    both = written(both, "signatures").repartition(spread, "_block")
     linked = with_next(both, ["_key", "_tag", "_turn"], "fingerprint", "_next_print")
 
     def likeness(a: str, b: str) -> Column:
