@@ -4,9 +4,9 @@ Every vector is projected on `projections` random lines. An index block holds, f
 each line, its vectors sorted by their projection. A query opens a window around its
 own projection on every line and widens all windows together, radius by radius
 (virtual rehashing: no new index for a wider radius, only the newly covered flanks
-of the sorted arrays are counted). A vector that collides on at least `threshold` of
-the lines is verified by its exact distance. A query is done when its k-th verified
-distance is within the radius, or every vector is verified.
+of the sorted arrays are counted). A vector that collides on at least `share` of the
+lines is verified by its exact distance. A query is done when the radius is `slack`
+times its k-th verified distance, or every vector is verified.
 
 Vectors are dealt to blocks of at most about `block` rows by hash, queries to blocks of
 `query_block`; each pair of blocks is one group, so a task holds two bounded blocks.
@@ -27,7 +27,7 @@ from pageframe.llm.store import written
 SEED = 20_240_601
 
 
-def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, projections: int, share: float) -> Iterator[tuple]:
+def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, projections: int, share: float, slack: float = 1.45) -> Iterator[tuple]:
     """(query, candidate, distance) of the k nearest found in one block for each query; ties go to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
@@ -70,7 +70,7 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
                 best_ids, best = np.concatenate([best_ids, ids[fresh]]), np.concatenate([best, distance])
                 keep = np.lexsort((best_ids, best))[:want]
                 best_ids, best = best_ids[keep], best[keep]
-            if (len(best) == want and best[-1] <= radius) or verified.all():
+            if (len(best) == want and slack * best[-1] <= radius) or verified.all():
                 break
             radius *= 1.3
         for c, d in zip(best_ids.tolist(), best.tolist()):
