@@ -107,6 +107,6 @@ def annotation_lists_equal(a: DataFrame, b: DataFrame, keys: list[str], order: s
 
 
 def seed_slot_annotations(annots: DataFrame, slots: DataFrame) -> DataFrame:
-    """A copy of each page's annotations for every slot that shows the page."""
-    shown = slots.where(F.col("kind") == "page").select("slot_id", "source_key", F.col("source_page_index").alias("page_index"))
-    return annots.join(shown, ["source_key", "page_index"])
+    """A copy of each page's annotations for every slot of the same document that shows the page."""
+    shown = slots.where(F.col("kind") == "page").select("doc", "slot_id", "source_key", F.col("source_page_index").alias("page_index"))
+    return annots.join(shown, ["doc", "source_key", "page_index"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageframe.functions.geometry import (
+    box_of_strokes,
     EPS,
     box_of_rects,
     expand_rect,
@@ -222,12 +223,12 @@ def run_fallback(runs: DataFrame, rects: DataFrame, rect_col: str = "red") -> Da
 
 
 def cover_rects(rects: DataFrame, slots: DataFrame) -> DataFrame:
-    """Opaque rects for the output: one per redaction and slot that shows its page."""
+    """Opaque rects for the output: one per redaction of a document and slot of that document that shows its page."""
     shown = slots.where(F.col("kind") == "page").select(
         "doc", "slot_id", F.col("pos").alias("output_page"), "source_key", F.col("source_page_index").alias("page_index"))
     blank = slots.where(F.col("kind") == "blank").select(
         "doc", "slot_id", F.col("pos").alias("output_page"), "source_key", F.lit(0).alias("page_index"))
-    return rects.join(shown.unionByName(blank), PAGE)
+    return rects.join(shown.unionByName(blank), ["doc", *PAGE])
 
 
 def _split(base: Column, cut: Column) -> Column:
@@ -309,12 +310,12 @@ def _cut_interval(piece: Column, cut: Column) -> Column:
 def redact_ink(annots: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ink with cuts: each segment keeps its parts outside the cuts, grown by half the pen width.
 
-    Changed ink becomes two-point strokes, untouched ink stays, ink with nothing left goes.
-    Rows carry strokes, thickness, cuts.
+    Changed ink becomes two-point strokes with its text cleared and its rect drawn anew around them; untouched ink
+    stays; ink with nothing left or without strokes goes. Rows carry rect, strokes, thickness, text, cuts.
     """
     ids = [*PAGE, *keys]
     cuts = F.coalesce("cuts", F.array().cast("array<struct<x:double,y:double,w:double,h:double>>"))
-    pad = F.greatest(F.lit(0.0), F.col("thickness") / 2)
+    pad = F.greatest(F.lit(0.0), F.coalesce("thickness", F.lit(0.0)) / 2)
     wide = annots.withColumn("_cuts", F.transform(cuts, lambda c: expand_rect(c, pad)))
     strokes = wide.where(F.size("_cuts") > 0).select(*ids, "_cuts", F.posexplode("strokes").alias("stroke_no", "stroke"))
     steps = F.when(F.size("stroke") > 1, F.sequence(F.lit(0), F.size("stroke") - 2)).otherwise(F.array().cast("array<int>"))
@@ -335,10 +336,29 @@ def redact_ink(annots: DataFrame, keys: Sequence[str]) -> DataFrame:
     kept = segments.groupBy(*ids).agg(
         F.bool_or("changed").alias("_changed"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("stroke_no", "i", "pieces"))), lambda s: s["pieces"])).alias("_kept"))
-    joined = annots.join(kept, ids, "left")
+    joined = annots.where("strokes IS NOT NULL").join(kept, ids, "left")
     now = F.coalesce("_changed", F.lit(False))
     left = joined.where(~now | (F.size("_kept") > 0))
-    return left.withColumn("strokes", F.when(now, F.col("_kept")).otherwise(F.col("strokes"))).withColumn("changed", now).drop("_changed", "_kept")
+    new_rect = pen_rect(F.col("_kept"), F.col("thickness"))
+    return (
+        left.withColumn("rect", F.when(now, new_rect).otherwise(F.col("rect")))
+        .withColumn("text", F.when(~now, F.col("text")))
+        .withColumn("strokes", F.when(now, F.col("_kept")).otherwise(F.col("strokes")))
+        .withColumn("changed", now)
+        .drop("_changed", "_kept")
+    )
+
+
+def pen_rect(strokes: Column, thickness: Column) -> Column:
+    """Rect around strokes, grown by half the pen but one point at least; null without points."""
+    b = box_of_strokes(strokes, F.greatest(F.lit(1.0), F.coalesce(thickness, F.lit(0.0)) / 2))
+    return F.when(b.isNotNull(), rect(b["llx"], b["lly"], b["urx"] - b["llx"], b["ury"] - b["lly"]))
+
+
+def ink_cuts(annots: DataFrame, rects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ink rows with the redactions near their strokes as `cuts`. Their own rect is not asked: it may be null or wrong."""
+    drawn = annots.withColumn("rect", pen_rect(F.col("strokes"), F.col("thickness"))).where("rect IS NOT NULL")
+    return annots.join(page_cuts(drawn, rects, keys), [*PAGE, *keys], "left")
 
 
 MARKUP = ("Highlight", "Underline", "StrikeOut", "Squiggly")
@@ -354,9 +374,7 @@ def redact_annotations(annots: DataFrame, rects: DataFrame) -> DataFrame:
     touched = F.coalesce(F.size("cuts") > 0, F.lit(False))
     ink = F.col("subtype") == "Ink"
     markup = F.col("subtype").isin(*MARKUP) & touched
-    # Ink is clipped by every redaction near its pen, so its box is grown before looking for cuts.
-    pen = annots.where(ink).withColumn("rect", expand_rect(F.col("rect"), F.greatest(F.lit(1.0), F.col("thickness") / 2)))
-    inked = annots.where(ink).join(page_cuts(pen, rects, ["id"]), [*PAGE, "id"], "left")
+    inked = ink_cuts(annots.where(ink), rects, ["id"])
     plain = joined.where(~ink & ((F.col("subtype") == "Widget") | ~touched))
     columns = annots.columns
     return (

@@ -214,13 +214,13 @@ def ann_2(spark, sf):
 
 
 @plan("ann_3", duck("""
-    WITH a AS (SELECT line_no AS id, CASE WHEN doc_id % 2 = 0 THEN 'primary' ELSE concat('ext:', doc_id % 7) END AS source_key, CAST(line_no % 5 AS INT) AS pg FROM {annotations} WHERE doc_id < 20)
-    SELECT a.id, s.slot_id, count(*) AS n FROM a JOIN {slots} s ON s.kind = 'page' AND s.source_key = a.source_key AND s.source_page_index = a.pg GROUP BY ALL"""))
+    WITH a AS (SELECT doc_id AS doc, line_no AS id, CASE WHEN doc_id % 2 = 0 THEN 'primary' ELSE concat('ext:', doc_id % 7) END AS source_key, CAST(line_no % 5 AS INT) AS pg FROM {annotations})
+    SELECT a.doc, a.id, s.slot_id, count(*) AS n FROM a JOIN {slots} s ON s.kind = 'page' AND s.doc = a.doc AND s.source_key = a.source_key AND s.source_page_index = a.pg GROUP BY ALL"""))
 def ann_3(spark, sf):
-    df = bridge.view(spark, sf, "annotations").where("doc_id < 20")
-    annots = df.select(F.col("line_no").alias("id"), F.when(F.col("doc_id") % 2 == 0, "primary").otherwise(F.concat(F.lit("ext:"), F.col("doc_id") % 7)).alias("source_key"),
+    df = bridge.view(spark, sf, "annotations")
+    annots = df.select(F.col("doc_id").alias("doc"), F.col("line_no").alias("id"), F.when(F.col("doc_id") % 2 == 0, "primary").otherwise(F.concat(F.lit("ext:"), F.col("doc_id") % 7)).alias("source_key"),
                        (F.col("line_no") % 5).cast("int").alias("page_index"))
-    return an.seed_slot_annotations(annots, bridge.view(spark, sf, "slots")).groupBy("id", "slot_id").agg(F.count("*").alias("n"))
+    return an.seed_slot_annotations(annots, bridge.view(spark, sf, "slots")).groupBy("doc", "id", "slot_id").agg(F.count("*").alias("n"))
 
 
 def _signed(spark, sf, shift: float):

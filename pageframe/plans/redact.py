@@ -355,16 +355,16 @@ def red_8(spark, sf):
 
 @plan("red_9", duck(f"""WITH {_CUTS},
     k AS (SELECT id, sum(ihi - il) AS lost, any_value(aw) AS w FROM c WHERE subtype = 'Ink' GROUP BY id)
-    SELECT a.id, coalesce(k.w - k.lost, a.aw) AS pen, k.id IS NOT NULL AS changed FROM {{annotations}} a LEFT JOIN k ON a.id = k.id WHERE a.subtype = 'Ink' AND coalesce(k.w - k.lost, 1) > 1e-6"""))
+    SELECT a.id, coalesce(k.w - k.lost, a.aw) AS pen, k.id IS NOT NULL AS changed, CASE WHEN k.id IS NULL THEN contents END AS text FROM {{annotations}} a LEFT JOIN k ON a.id = k.id WHERE a.subtype = 'Ink' AND coalesce(k.w - k.lost, 1) > 1e-6"""))
 def red_9(spark, sf):
     annots, reds = _annots(spark, sf).where("subtype = 'Ink'"), bridge.redactions(spark, sf)
-    done = rd.redact_ink(annots.join(rd.page_cuts(annots, reds, ["id"]), [*PAGE, "id"], "left"), ["id"])
+    done = rd.redact_ink(rd.ink_cuts(annots.withColumn("rect", F.lit(None).cast(annots.schema["rect"].dataType)), reds, ["id"]), ["id"])
     pen = F.aggregate("strokes", F.lit(0.0), lambda a, s: a + F.hypot(s[1]["x"] - s[0]["x"], s[1]["y"] - s[0]["y"]))
-    return done.select("id", F.round(pen, 6).alias("pen"), "changed")
+    return done.select("id", F.round(pen, 6).alias("pen"), "changed", "text")
 
 
 @plan("red_10", duck(f"""WITH {_CUTS}, hit AS (SELECT id, sum(h - l) AS lost, sum(ihi - il) AS ink FROM c GROUP BY id)
-    SELECT a.id, a.subtype, CASE WHEN hit.id IS NOT NULL AND a.subtype = 'Highlight' THEN NULL ELSE contents END AS text FROM {{annotations}} a LEFT JOIN hit ON a.id = hit.id
+    SELECT a.id, a.subtype, CASE WHEN hit.id IS NOT NULL AND a.subtype IN ('Highlight', 'Ink') THEN NULL ELSE contents END AS text FROM {{annotations}} a LEFT JOIN hit ON a.id = hit.id
     WHERE a.subtype = 'Widget' OR hit.id IS NULL OR (a.subtype = 'Ink' AND a.aw - hit.ink > 1e-6) OR a.subtype = 'Highlight'"""))
 def red_10(spark, sf):
     done = rd.redact_annotations(_annots(spark, sf), bridge.redactions(spark, sf))
@@ -383,11 +383,11 @@ def red_12(spark, sf):
 
 @plan("red_13", duck("""
     WITH s AS (SELECT doc, slot_id, pos, kind, source_key, source_page_index AS pg FROM {slots}),
-    r AS (SELECT concat('redact-', conv_id, '-', turn) AS red_id, CASE WHEN turn % 2 = 0 THEN 'primary' ELSE concat('ext:', conv_id % 7) END AS source_key, CAST((turn * 3) % 5 AS INT) AS pg, turn * 10e0 AS x FROM conversations WHERE turn <= 1 AND conv_id % 10 = 0)
-    SELECT r.red_id, s.slot_id, s.pos AS output_page, r.x FROM r JOIN s ON r.source_key = s.source_key AND r.pg = s.pg"""))
+    r AS (SELECT conv_id AS doc, concat('redact-', conv_id, '-', turn) AS red_id, CASE WHEN turn % 2 = 0 THEN 'primary' ELSE concat('ext:', conv_id % 7) END AS source_key, CAST((turn * 3) % 5 AS INT) AS pg, turn * 10e0 AS x FROM conversations)
+    SELECT r.red_id, s.slot_id, s.pos AS output_page, r.x FROM r JOIN s ON r.doc = s.doc AND r.source_key = s.source_key AND r.pg = s.pg"""))
 def red_13(spark, sf):
-    turns = bridge.table(spark, sf, "conversations").where("turn <= 1 AND conv_id % 10 = 0")
-    reds = turns.select(F.concat_ws("-", F.lit("redact"), "conv_id", "turn").alias("red_id"),
+    turns = bridge.table(spark, sf, "conversations")
+    reds = turns.select(F.col("conv_id").alias("doc"), F.concat_ws("-", F.lit("redact"), "conv_id", "turn").alias("red_id"),
                         F.when(F.col("turn") % 2 == 0, "primary").otherwise(F.concat(F.lit("ext:"), F.col("conv_id") % 7)).alias("source_key"),
                         ((F.col("turn") * 3) % 5).cast("int").alias("page_index"), (F.col("turn") * 10.0).alias("x"))
     return rd.cover_rects(reds, bridge.view(spark, sf, "slots")).select("red_id", "slot_id", "output_page", "x")

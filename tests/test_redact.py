@@ -65,6 +65,23 @@ def test_annotation_goldens(spark):
     assert sorted((s[0].x, s[1].x) for s in ink.strokes) == [(0.0, 40.0), (60.0, 100.0)]
 
 
+def test_redacted_ink_keeps_no_text_and_is_cut_by_its_strokes(spark):
+    rows = [("i", "Ink", 0.0, 10.0, 100.0, 0.0, 4.0, "SECRET"), ("far", "Ink", 0.0, 200.0, 100.0, 0.0, 4.0, "stays")]
+    annots = _annots(spark, rows)
+    missing = annots.withColumn("rect", F.lit(None).cast(annots.schema["rect"].dataType))
+    beside = annots.withColumn("rect", lit_rect(500, 500, 5, 5))
+    for df in (annots, missing, beside):
+        got = {r.id: r for r in rd.redact_annotations(df, _cut(spark, 60, 0, 40, 20)).collect()}
+        assert got["i"].text is None and tuple(got["i"].rect) == (-2.0, 8.0, 62.0, 4.0)
+        assert got["far"].text == "stays"
+
+
+def test_covers_stay_in_their_document(spark):
+    reds = spark.createDataFrame([(1, "primary", 0, "r")], "doc long, source_key string, page_index int, red_id string")
+    slots = spark.createDataFrame([(d, f"s{d}", 0, "page", "primary", 0) for d in (1, 2)], "doc long, slot_id string, pos int, kind string, source_key string, source_page_index int")
+    assert [r.slot_id for r in rd.cover_rects(reds, slots).collect()] == ["s1"]
+
+
 NODES = "node_id string, parent_id string, name string, ft string, ff int, v string, is_widget boolean, page_index int, x double, y double, w double, h double"
 
 
