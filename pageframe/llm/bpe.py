@@ -2,11 +2,12 @@
 
 The transducer reads a piece byte by byte. For each prefix of the piece there is one
 last token that its encoding can end with: the one that is compatible with the last
-token of what comes before it. A state stands for the last settled token and the
-bytes after it, and knows the prefixes that some token of the vocabulary still
-continues. Beyond a bounded lookahead the tokens these prefixes share are emitted and
-settled. States and steps are made when first met. Two tokens are compatible if the
-merges of their joined bytes give just these two.
+token of what comes before it. A state holds the last emitted token and, for each
+prefix that some token of the vocabulary still continues, the tokens and bytes since.
+Tokens that all these share are emitted, so the lookahead is bounded by the longest
+token, and pieces that leave the same behind meet in one state. States and steps are
+made when first met. Two tokens are compatible if the merges of their joined bytes
+give just these two.
 
 Decoding follows UTF-8 by a state machine over bytes, its steps composed per token:
 text comes out as soon as its last byte is in, whatever tokens it was cut into.
@@ -29,6 +30,7 @@ from pageframe.llm.store import over_batches
 CACHED = 400_000
 STATES = 100_000
 PAIRS = 200_000
+NONE = -1
 _coders: dict[tuple[str, str], "Coder"] = {}
 
 
@@ -49,30 +51,44 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class State:
-    """What was read since the last settled token: its last token, the state before that token, and what may yet grow.
+    """What a piece has been read to, up to the tokens emitted so far. Tokens are ids; 0 bytes of a token are node 0 of the trie.
 
-    `open` lists (state, bytes after it) for the prefixes from which some token of the vocabulary still goes on.
+    `open` lists (tokens since the last emitted one, trie node of the bytes after them) for the prefixes that may still
+    matter: those that some token of the vocabulary continues, the longest rest first, and at the end the whole prefix.
+    Pieces that leave the same of it share the state. `steps` holds per byte the state after it and the ids it emits.
     """
 
-    __slots__ = ("last", "back", "open", "steps", "depth")
+    __slots__ = ("last", "open", "steps")
 
-    def __init__(self, last: bytes | None, back: "State | None", depth: int) -> None:
-        self.last, self.back, self.depth = last, back, depth
-        self.open: list[tuple[State, bytes]] = [(self, b"")] if last is not None else []
-        self.steps: dict[int, State] = {}
+    def __init__(self, last: int, open_: tuple[tuple[tuple[int, ...], int], ...]) -> None:
+        self.last, self.open = last, open_
+        self.steps: dict[int, tuple[State, tuple[int, ...]]] = {}
 
 
 class Transducer:
-    """Token ids of one piece. States and steps are determinised when first met; `made` counts them, and they start anew at `STATES`."""
+    """Token ids of one piece. States and steps are determinised when first met and start anew at `STATES`."""
 
-    def __init__(self, ranks: dict[bytes, int], lookahead: int = 64) -> None:
+    def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
-        self.lookahead = max(lookahead, 2 * max(map(len, ranks)))
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.names = {i: token for token, i in ranks.items()}
+        self.kids: dict[int, int] = {}  # node * 256 + byte: node
+        self.tokens: list[int] = [NONE]
+        self.inner: list[bool] = [True]
+        for token, i in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                edge = node << 8 | byte
+                if edge not in self.kids:
+                    self.kids[edge] = len(self.tokens)
+                    self.tokens.append(NONE)
+                    self.inner.append(False)
+                node = self.kids[edge]
+            self.tokens[node] = i
+        self.pairs: dict[int, bool] = {}
         self.chains: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
-        self.roots: dict[bytes, State] = {}
-        self.made = 0
+        self.states: dict[tuple, State] = {}
+        self.start = State(NONE, (((), 0),))
 
     def parts(self, token: bytes) -> tuple[bytes, bytes]:
         """The two tokens whose merge makes this one."""
@@ -95,13 +111,14 @@ class Transducer:
             self.chains[token, side] = found
         return found
 
-    def compatible(self, left: bytes, right: bytes) -> bool:
+    def compatible(self, left: int, right: int) -> bool:
         """No pair across the border is merged before its sides are; at equal rank the merge further left comes first."""
-        if not left:
+        if left == NONE:
             return True
-        found = self.pairs.get((left, right))
+        pair = left << 32 | right
+        found = self.pairs.get(pair)
         if found is None:
-            ends, starts = self.chain(left, 1), self.chain(right, 0)
+            ends, starts = self.chain(self.names[left], 1), self.chain(self.names[right], 0)
             i = j = 0
             found = True
             while True:
@@ -118,73 +135,56 @@ class Transducer:
                     j += 1
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            self.pairs[left, right] = found
+            self.pairs[pair] = found
         return found
 
-    def root(self, settled: bytes) -> State:
-        if self.made > STATES:
-            self.roots, self.made = {}, 0
-        if settled not in self.roots:
-            self.roots[settled] = State(settled, None, 0)
-        return self.roots[settled]
-
-    def step(self, state: State, byte: int) -> State:
-        self.made += 1
-        ranks, prefixes = self.ranks, self.prefixes
-        new = bytes((byte,))
-        last, back, grown = None, None, []
-        for origin, data in state.open:  # longest first; only one token fits
-            data += new
-            if last is None and data in ranks and self.compatible(origin.last, data):
-                last, back = data, origin
-            if data in prefixes:
-                grown.append((origin, data))
-        found = State(last, back, state.depth + 1)
-        found.open = grown + found.open
+    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        """The state after `byte`, and the ids of the tokens that from there on all open prefixes share."""
+        kids, tokens, inner = self.kids, self.tokens, self.inner
+        whole, grown = None, []
+        for path, node in state.open:  # longest rest first; only one token fits
+            node = kids.get(node << 8 | byte)
+            if node is None:
+                continue
+            if whole is None and tokens[node] != NONE and self.compatible(path[-1] if path else state.last, tokens[node]):
+                whole = (*path, tokens[node])
+            if inner[node]:
+                grown.append((path, node))
+        if whole is not None:
+            grown.append((whole, 0))
+        first = grown[0][0] if grown else ()
+        shared = len(first)
+        for path, _ in grown[1:]:
+            while first[:shared] != path[:shared]:
+                shared -= 1
+        done = first[:shared]
+        last = done[-1] if done else state.last
+        key = (last, *((path[shared:], rest) for path, rest in grown))
+        after = self.states.get(key)
+        if after is None:
+            if len(self.states) >= STATES:
+                self.states.clear()
+                self.start.steps.clear()
+            after = self.states[key] = State(last, key[1:])
+        found = after, done
         state.steps[byte] = found
         return found
 
-    def settle(self, state: State) -> tuple[list[bytes], bytes, bytes]:
-        """Tokens that all open prefixes share, the last of them, and the bytes after it."""
-        paths = []
-        for origin, data in state.open:
-            path = []
-            while origin.back is not None:
-                path.append(origin.last)
-                origin = origin.back
-            paths.append((path[::-1], data))
-        shared = 0
-        while paths and all(len(p) > shared for p, _ in paths) and len({p[shared] for p, _ in paths}) == 1:
-            shared += 1
-        if not shared:
-            return [], b"", b""
-        path, data = paths[0]
-        return path[:shared], path[shared - 1], b"".join(path[shared:]) + data
-
     def __call__(self, piece: bytes) -> list[int]:
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
         out: list[int] = []
-        state = self.root(b"")
+        state = self.start
         for byte in piece:
-            after = state.steps.get(byte)
-            state = self.step(state, byte) if after is None else after
-            if state.depth > self.lookahead:
-                done, settled, rest = self.settle(state)
-                if done:
-                    out += [ranks[t] for t in done]
-                    state = self.root(settled)
-                    for again in rest:
-                        after = state.steps.get(again)
-                        state = self.step(state, again) if after is None else after
-        tail = []
-        while state.last is not None and state.back is not None:
-            tail.append(ranks[state.last])
-            state = state.back
-        if state.last is None:  # a vocabulary with tokens that merges don't reach
+            found = state.steps.get(byte)
+            state, ids = self.step(state, byte) if found is None else found
+            if ids:
+                out += ids
+        if not state.open or state.open[-1][1]:  # a vocabulary with tokens that merges don't reach
             return [ranks[t] for t in merged(piece, ranks)]
-        return out + tail[::-1]
+        out += state.open[-1][0]
+        return out
 
 
 class Pieces(dict):
@@ -279,6 +279,7 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.pieces = Pieces(self.ranks)
         self.decoder = Decoder(self.ranks)
+        self.digits = {i: str(i) for i in self.ranks.values()}
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
@@ -333,7 +334,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
         for content in batch.column(1).to_pylist():
             ids = code.encode(content or "")
             counts.append(len(ids))
-            ids_hash.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            ids_hash.append(hashlib.sha256(",".join(map(code.digits.__getitem__, ids)).encode()).hexdigest())
             digest = hashlib.sha256()
             digest.update(code.decode(ids).encode())
             text_hash.append(digest.hexdigest())
