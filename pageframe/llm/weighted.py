@@ -7,8 +7,8 @@ the generalised Jaccard similarity of their weights. The least value itself name
 the sample, as values of different terms, weights or samples do not meet.
 
 Terms are words, hashed to `buckets` feature buckets, so r, c and b are one small table
-of buckets x samples whatever the corpus; it is the only broadcast. Rows stay in the
-partition of their block of document ids from the first shuffle on.
+of buckets x samples whatever the corpus; it is the only broadcast. Texts are
+shuffled once, by blocks of document ids; their words and weights stay there.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pageframe.llm.store import written
 BUCKETS = 1 << 14
 SAMPLES = 32
 BLOCK = 64
+NO_ID = -(1 << 63)
 
 
 def _uniform(*parts: Column) -> Column:
@@ -45,15 +46,16 @@ def parameters(docs: DataFrame, buckets: int, samples: int) -> DataFrame:
     )
 
 
-def with_next(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+def with_next(rows: DataFrame, source: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """Add `value` of the next row along `order` within `_block`, of the first row of the next block at its end, of the very first after the last.
 
-    `_block` is clustered already. Only one row of each block crosses blocks. Blocks meet in super-blocks of 4096,
-    and one row for each of those in the last step.
+    `rows` are clustered by `_block`; `source` holds the same rows before their shuffle, so that the first of each block
+    are taken where they lie. Only these cross blocks. Blocks meet in super-blocks of 4096, and one row for each of those
+    in the last step.
     """
     inner = Window.partitionBy("_block").orderBy(*order)
     marked = rows.withColumn("_there", F.lead(F.struct(value)).over(inner))
-    firsts = rows.groupBy("_block").agg(F.min_by(F.struct(value), F.struct(*order)).alias("_first"))
+    firsts = source.groupBy("_block").agg(F.min_by(F.struct(value), F.struct(*order)).alias("_first"))
     blocks = firsts.select("_block", F.floor(F.col("_block") / 4096).alias("_super"))
     near = blocks.withColumn("_after", F.lead("_block").over(Window.partitionBy("_super").orderBy("_block")))
     heads = blocks.groupBy("_super").agg(F.min("_block").alias("_head"))
@@ -74,25 +76,26 @@ def fingerprints(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, sa
     The edited text is the text with its last half replaced by as many first characters of the next document along
     doc_id, or all of them; the last document takes the first. A null text counts as empty. Texts without words share
     one fingerprint, of which the likeness to another is 1, and to any other 0. Repeated rows follow each other in the
-    order of their texts; rows without doc_id come first. Very long texts count whole. Other columns are ignored, and an
+    order of their texts; rows without doc_id come first (the least long stands for none). Very long texts count whole. Other columns are ignored, and an
     empty table stays empty.
     """
     content = F.coalesce(F.col(text), F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
-    rows = docs.select(key.alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), content.alias("_text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_key"), content.alias("_text"))
     rows = rows.withColumn("_block", F.floor(F.col("_key") / BLOCK)).withColumn("_tag", F.xxhash64("_text"))
     spread = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(spread, "_block")
     order = ["_key", "_tag"]
-    numbered = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_block").orderBy(*order)))
-    chained = with_next(numbered, ["_key", "_tag", "_turn"], "_text", "_follow")
-    edited = F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 2) AS int))"), F.expr("substring(_follow, 1, cast(floor(length(_text) / 2) AS int))"))
-    edited_rows = chained.select("_block", "_key", "_tag", "_turn", "doc_id", "_text", edited.alias("_edited"), F.length("_text").cast("long").alias("n_chars"))
-    keys = ["_block", "_key", "_tag", "_turn"]
+    placed = with_next(rows.repartition(spread, "_block"), rows, order, "_text", "_follow")
+    placed = placed.withColumn("_turn", F.row_number().over(Window.partitionBy("_block").orderBy(*order)))
+    half = "cast(floor(length(_text) / 2) AS int)"
+    edited = F.concat(F.expr(f"substring(_text, 1, length(_text) - {half})"), F.expr(f"substring(_follow, 1, {half})"))
+    placed = placed.withColumn("_edited", edited)
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("_text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("_edited").alias("body")))
-    bodies = edited_rows.select(*keys, F.explode(sides).alias("_s")).select(*keys, F.col("_s.side").alias("_side"), F.explode(_words(F.col("_s.body"))).alias("_word"))
-    bodies = bodies.where("_word <> ''").select(*keys, "_side", F.pmod(F.xxhash64("_word"), F.lit(buckets)).cast("int").alias("bucket"))
-    weights = bodies.groupBy(*keys, "_side", "bucket").agg(F.count(F.lit(1)).alias("_weight"))
+    bodies = placed.select("_block", "_turn", F.explode(sides).alias("_s"))
+    bodies = bodies.select("_block", (F.col("_turn").cast("long") * 2 + F.col("_s.side")).alias("_at"), F.explode(_words(F.col("_s.body"))).alias("_word"))
+    bucket = F.pmod(F.xxhash64("_word"), F.lit(buckets))
+    slots = bodies.where("_word <> ''").select("_block", (F.col("_at") * buckets + bucket).alias("_slot"))
+    weights = slots.groupBy("_block", "_slot").agg(F.count(F.lit(1)).alias("_weight"))
+    weights = weights.select("_block", F.expr(f"_slot div {buckets}").alias("_at"), F.pmod("_slot", F.lit(buckets)).cast("int").alias("bucket"), "_weight")
     table = F.broadcast(parameters(docs, buckets, samples))  # buckets x samples x 3 doubles
     lnw = F.log(F.col("_weight").cast("double"))
 
@@ -101,25 +104,24 @@ def fingerprints(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, sa
         return lnc - r * (F.floor(F.col("_lnw") / r + b) + 1.0 - b)
 
     valued = weights.join(table, "bucket").withColumn("_lnw", lnw)
-    least = valued.groupBy(*keys, "_side").agg(*[F.min(value(k)).alias(f"m{k}") for k in range(samples)])
+    least = valued.groupBy("_block", "_at").agg(*[F.min(value(k)).alias(f"m{k}") for k in range(samples)])
     digits = [F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(f"m{k}"), 48))), 4, "0") for k in range(samples)]
-    prints = least.select(*keys, "_side", F.concat(*digits).alias("_print"))
-    prints = written(prints.select(*keys, "_side", "_print"), "prints")
-    pair = prints.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_side") == side, F.col("_print"))).alias(f"_p{side}") for side in (0, 1)]
+    prints = least.select("_block", F.expr("_at div 2").cast("int").alias("_turn"), F.pmod("_at", F.lit(2)).alias("_side"), F.concat(*digits).alias("_print"))
+    texts = placed.select("_block", "_turn", "_key", F.length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
+    parts = written(prints.unionByName(texts, allowMissingColumns=True), "prints")  # both read the one shuffle of the texts
+
+    def side(which: int, name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_side") == which, F.col("_print"))), F.lit("0" * 4 * samples)).alias(name)
+
+    pairs = parts.repartition("_block").groupBy("_block", "_turn").agg(
+        F.max("_key").alias("_key"),
+        F.max("n_chars").alias("n_chars"),
+        F.max("edited_sha256").alias("edited_sha256"),
+        side(0, "fingerprint"),
+        side(1, "edited_fingerprint"),
     )
-    nothing = F.lit("0" * 4 * samples)
-    both = edited_rows.select(*keys, "doc_id", "n_chars", "_edited").join(pair, keys, "left")
-    both = both.select(
-        *keys,
-        "doc_id",
-        "n_chars",
-        F.sha2("_edited", 256).alias("edited_sha256"),
-        F.coalesce(F.col("_p0"), nothing).alias("fingerprint"),
-        F.coalesce(F.col("_p1"), nothing).alias("edited_fingerprint"),
-    )
-    both = written(both, "signatures").repartition(spread, "_block")
-    linked = with_next(both, ["_key", "_tag", "_turn"], "fingerprint", "_next_print")
+    both = written(pairs, "signatures")
+    linked = with_next(both.repartition("_block"), both, ["_turn"], "fingerprint", "_next_print")
 
     def likeness(a: str, b: str) -> Column:
         same = [F.when(F.substring(a, 4 * k + 1, 4) == F.substring(b, 4 * k + 1, 4), 1).otherwise(0) for k in range(samples)]
@@ -129,7 +131,7 @@ def fingerprints(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, sa
         return total / F.lit(float(samples))
 
     return linked.select(
-        "doc_id",
+        F.nullif("_key", F.lit(NO_ID)).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         "fingerprint",
