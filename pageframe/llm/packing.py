@@ -12,7 +12,9 @@ pieces of one length; a piece finds its slot by its rank among equals.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,44 +25,74 @@ from pageframe.llm.store import sliced, written
 
 SIZE = 4096
 END_ID = 1
-CACHED = 200_000
+CACHED = 300_000
+BATCH = 400
+WORD_END = "</w>"
 _encoders: dict[str, "WordIds"] = {}
 
 
-class WordIds(dict):
-    """Ids of a white-space word, four bytes each. The tokenizer drops white space, so words are independent.
+class WordIds:
+    """Ids of white-space words, four bytes each. The tokenizer drops white space, so words are independent.
 
-    Common words stay in the dictionary, at most `CACHED` of them. A Latin word in any case, with one mark at its
-    end, is looked up by its lower-case letters, as the tokenizer lower-cases and splits letters from marks.
+    A batch looks up its distinct words at once. A Latin word in any case, with one mark at its end, is found by its
+    lower-case letters, as the tokenizer lower-cases and splits letters from marks; such a core is one piece to the
+    tokenizer, so many new ones are encoded as one text and parted at the tokens that end a word. At most `CACHED`
+    words and as many cores stay from batch to batch; those beyond serve their batch only.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.words: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def core(self, text: str) -> bytes:
-        found = self.cores.get(text)
-        if found is None:
-            found = self.encoded(text)
-            if len(self.cores) < CACHED:
-                self.cores[text] = found
-        return found
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        body, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
-        if body.isalpha() and max(body) <= "\xff":
-            found = self.core(body.lower()) + (self.core(mark) if mark else b"")
-        else:
-            found = self.encoded(text)
-        if len(self) < CACHED:
-            self[word] = found
-        return found
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, "<u4").tobytes() for f in found]
+
+    def encoded_cores(self, cores: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(cores), 1000):
+            part = cores[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) == len(part):
+                data, cuts = ids.tobytes(), cuts.tolist()
+                out += [data[s:e] for s, e in zip([0, *cuts], cuts)]
+            else:
+                out += self.encoded(part)
+        return out
+
+    def __call__(self, wanted: set[bytes]) -> Callable[[bytes], bytes]:
+        """A lookup that knows the words `wanted`."""
+        latin, others = [], []
+        for word in wanted.difference(self.words):
+            text = word.decode("utf-8", "replace")
+            body, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
+            if body.isalpha() and max(body) <= "\xff":
+                latin.append((word, body.lower(), mark))
+            else:
+                others.append((word, text))
+        new = list({core for _, core, _ in latin}.difference(self.cores))
+        cores = self.cores
+        if new:
+            fresh = dict(zip(new, self.encoded_cores(new)))
+            if len(cores) + len(fresh) <= CACHED:
+                cores.update(fresh)
+            else:
+                cores = ChainMap(fresh, cores)
+        marks = dict(zip(".,;:!?", self.encoded([*".,;:!?"]))) | {"": b""} if latin else {}
+        found = {word: cores[core] + marks[mark] for word, core, mark in latin}
+        found.update(zip([w for w, _ in others], self.encoded([t for _, t in others])))
+        if len(self.words) + len(found) <= CACHED:
+            self.words.update(found)
+            return self.words.__getitem__
+        found.update((word, self.words[word]) for word in wanted & self.words.keys())
+        return found.__getitem__
 
 
 def encoder(path: str) -> WordIds:
@@ -75,10 +107,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, text: str = "text", size: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in sliced(batches):
+        for batch in sliced(batches, BATCH):
             row, piece, length, crc = [], [], [], []
-            for i, content in enumerate(batch.column(1).to_pylist()):
-                data = b"".join([words[w] for w in (content or "").encode("utf-8", "surrogatepass").split()]) + end
+            split = [(content or "").encode("utf-8", "surrogatepass").split() for content in batch.column(1).to_pylist()]
+            known = words(set(chain.from_iterable(split)))
+            for i, text_words in enumerate(split):
+                data = b"".join(map(known, text_words)) + end
                 for at in range(0, len(data), 4 * size):
                     part = data[at : at + 4 * size]
                     row.append(i), piece.append(at // (4 * size)), length.append(len(part) // 4), crc.append(zlib.crc32(part))

@@ -69,3 +69,14 @@ def test_fit_counts_recovers_an_exact_mixture():
 
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA), VOCABULARY).collect() == []
+
+
+def test_words_beyond_the_cache_and_words_without_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 5)
+    words, tokenizer = packing.WordIds(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for texts in (["Abc", "naïve.", "\xa0"], ["abc!", "Straße", "\xa0", " ", "x́y"], ["q;", "zz", "Abc", "don't"]):
+        wanted = {t.encode() for t in texts}
+        known = words(wanted)
+        for t in texts:
+            assert known(t.encode()) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(words.words) <= 5 and len(words.cores) <= 5
