@@ -16,7 +16,9 @@ at most; what a group returns is a spanning forest of its links, never all pairs
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.llm.components import LINK, connected_components
-from pageframe.llm.store import over_batches, written
+from pageframe.llm.store import over_batches, sliced, written
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -240,37 +242,114 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bits: int = 4, w
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _word_prints(text: str | None, prints: int, width: int) -> list[int]:
-    """Fingerprints of the set of words under `prints` hash functions, then the one of shingles of `width` words."""
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
-    out = []
-    for turn in range(prints):
-        mixed = (hashes ^ np.uint64(turn)) * np.uint64(0xFF51AFD7ED558CCD)
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
-        out.append(signed(majority(mixed ^ (mixed >> np.uint64(29)))))
-    return [*out, signed(majority(shingle_hashes(text, width)))]
+def _set_of(text: str | None, width: int) -> tuple[np.ndarray, bytes]:
+    """The set of shingles in rising order, and a digest that names it."""
+    members = np.unique(shingle_hashes(text, width))
+    return members, hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
-def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, bits: int = 4, prints: int = 3, similar_bits: int = 12) -> DataFrame:
-    """(doc_id, component_id) of near copies whose shingles of `width` words are about 0.8 alike.
-
-    One edited word changes `width` shingles, so texts of similarity 0.8 differ in some ten bits of a shingle
-    fingerprint, too many for long keys. Candidates are found in `prints` fingerprints of the set of words instead,
-    where such texts differ in about four bits: within `bits` places in one of them by the pigeonring filter. They
-    link if their shingle fingerprints differ in at most `similar_bits` places: 64 acos(2s / (1 + s)) / pi is 9.7 for
-    s = 0.8, and two more for the spread. Nulls, empty texts and repeated rows are treated as in `near_duplicate_classes`.
-    """
-    names = [*(f"w{i}" for i in range(prints)), "shingles"]
+def _common_shingles(source: DataFrame, width: int, every: int = 16, least: int = 4, limit: int = 1 << 16) -> np.ndarray:
+    """Shingles that many texts of a sample share, the commonest last. They only set an order, so any sample gives the same links."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([_word_prints(t, prints, width) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(names))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["doc_id", *names])
+        found = [_set_of(t, width)[0] for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["part"])
+
+    sample = source.where(F.pmod(F.xxhash64("_text"), F.lit(every)) == 0)
+    counts = over_batches(sample, run, "part long").groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return np.array([r.part for r in counts.orderBy(F.desc("n"), "part").limit(limit).collect()][::-1], np.int64).view(np.uint64)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
+    """Links (a, b) of the pairs (x, y) of sets whose exact similarity is num / den or more. Sets are made again, of paired texts only."""
+    pairs = written(pairs.distinct(), "pairs")
+    ends = pairs.select(F.col("x").alias("at")).unionByName(pairs.select(F.col("y").alias("at"))).distinct()
+    wanted = written(nodes.join(ends, "at", "left_semi").select("at", "node", "digest"), "wanted")
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [_set_of(t, width) for t in batch.column(3).to_pylist()]
+        same = np.array([m[1] == d for m, d in zip(made, batch.column(2).to_pylist())], bool)
+        sets = pa.array([m[0].tobytes() for m in made], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], ["at", "node", "members"]).filter(pa.array(same))
+
+    texts = source.join(wanted, source["doc_id"] == wanted["node"]).select("at", "node", "digest", "_text")
+    sets = written(over_batches(texts, make, "at long, node long, members binary"), "sets")
+    slots = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_slots"))
+    heads = slots.join(sets, slots["x"] == sets["at"]).select("x", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1)).alias("slot"), F.lit(0).alias("kind"), "node", "members")
+    placed = pairs.join(slots, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("n_slots")).cast("int").alias("slot"))
+    tails = placed.join(sets, placed["y"] == sets["at"]).select("x", "slot", F.lit(1).alias("kind"), "node", "members")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, name = np.empty(0, np.uint64), 0
+        for batch in sliced(batches):
+            a, b = [], []
+            for kind, node, members in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                other = np.frombuffer(members, np.uint64)
+                if not kind:
+                    head, name = other, node
+                    continue
+                both = len(np.intersect1d(head, other, assume_unique=True))
+                if both * (num + den) >= num * (len(head) + len(other)):
+                    a.append(name), b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    met = heads.unionByName(tails).repartition("x", "slot").sortWithinPartitions("x", "slot", "kind")
+    return written(met.mapInArrow(run, LINK), "verified")
+
+
+def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
+    """(doc_id, component_id) of near copies: texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more, and what they link.
+
+    Of two such sets, the first n - ceil(similarity * n) + 1 shingles of each, in any one order of all shingles, have one
+    in common. So texts meet in these prefixes, in an order that puts common shingles last; pairs whose sizes or places
+    rule the similarity out are dropped, and all others are compared by their whole sets. Equal sets are one row before
+    any join. First every set is compared with the smallest of each group it is in; then, in groups that this leaves in
+    several classes, all pairs of unlike classes are, large groups block by block. So no pair is missed, and a group of
+    copies takes one comparison a text. Nulls, empty texts and repeated rows are treated as in `near_duplicate_classes`.
+    """
+    part = Fraction(str(similarity))
+    num, den = part.numerator, part.denominator
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    marked = written(over_batches(source, run, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "prints")
-    nodes = written(marked.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
-    links = near_links(nodes.where("node IS NOT NULL"), bits, prints=tuple(names[:-1]), check="shingles", check_bits=similar_bits)
-    centres = connected_components(links)
-    classes = nodes.join(centres, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return marked.join(classes, names).select("doc_id", "component_id")
+    common = _common_shingles(source, width)
+    by_value = np.argsort(common)
+    ranked = common[by_value]
+
+    def prefix(members: np.ndarray) -> np.ndarray:
+        n = len(members)
+        place = np.minimum(np.searchsorted(ranked, members), max(len(ranked) - 1, 0))
+        hot = ranked[place] == members if len(ranked) else np.zeros(n, bool)
+        ordered = np.concatenate([members[~hot], members[hot][np.argsort(by_value[place[hot]])]])
+        return ordered[: n - (num * n + den - 1) // den + 1] if n else ordered
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [_set_of(t, width) for t in batch.column(1).to_pylist()]
+        firsts = [prefix(m).view(np.int64) for m, _ in made]
+        cuts = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
+        columns = [batch.column(0), pa.array([d for _, d in made], pa.binary()), pa.array([len(m) for m, _ in made], pa.int64()), lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "prefix"])
+
+    marked = written(over_batches(source, run, "doc_id long, digest binary, n long, prefix array<long>"), "prefixes")
+    nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    nodes = written(nodes.withColumn("at", F.monotonically_increasing_id()), "nodes")
+    rows = nodes.where("node IS NOT NULL").select("at", "node", "n", F.posexplode("prefix").alias("pos", "part"))
+    least = F.min(F.struct("n", "at", "node", "pos")).alias("first")
+    shared = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), least).where("n_rows > 1").select("part", "first")
+    met = written(rows.join(written(shared, "shared"), "part"), "met")
+
+    def may_link(n: str, pos: str, other_n: str, other_pos: str) -> Column:
+        """Whether sets of these sizes whose first common shingle is here can be so alike."""
+        return F.expr(f"least({n} - {pos}, {other_n} - {other_pos}) * {num + den} >= {num} * ({n} + {other_n})")
+
+    stars = met.where("at <> first.at").where(may_link("n", "pos", "first.n", "first.pos")).select(F.col("first.at").alias("x"), F.col("at").alias("y"))
+    linked = connected_components(_verified(stars, nodes, source, width, num, den, block))
+    labelled = met.select("part", "at", "node", "n", "pos").join(linked, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    mixed = labelled.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
+    left = written(labelled.join(mixed.where("low <> high").select("part", "n_blocks"), "part"), "mixed")
+    own = left.withColumn("slot", F.pmod(F.xxhash64("at"), F.col("n_blocks")).cast("int")).alias("l")
+    other = left.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).alias("r")
+    across = own.join(other, F.expr("l.part = r.part AND l.slot = r.slot AND l.at < r.at AND l.label <> r.label") & may_link("l.n", "l.pos", "r.n", "r.pos"))
+    rest = _verified(across.select(F.col("l.at").alias("x"), F.col("r.at").alias("y")), nodes, source, width, num, den, block)
+    centres = connected_components(rest.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    classes = nodes.join(centres, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(classes, "digest").select("doc_id", "component_id")

@@ -87,3 +87,57 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 400)] + [(900, 900), (None, 4), (700, 650)], "a long, b long").repartition(7)
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 401)}, 700: 650}
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_copies():
+    """Texts with appended, cut and scattered edits of similarity 0.8 to 0.95, on both sides of 0.8."""
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.zipf(1.3, n) % 5000]
+    rows = []
+    for i in range(60):
+        base = words(int(rng.integers(40, 300)))
+        n, kind = len(base), i % 3
+        for share in (0.05, 0.1, 0.15, 0.2, 0.3):
+            if kind == 0:
+                copy = base + words(int(share * n))
+            elif kind == 1:
+                copy = base[: n - int(share * n)]
+            else:
+                copy = list(base)
+                for place in rng.choice(n, max(1, int(share * n / 10)), replace=False):
+                    copy[int(place)] = "edited"
+            rows.append(copy)
+        rows.append(base)
+    header = words(200)
+    rows += [header + words(int(rng.integers(5, 90))) for _ in range(40)]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)] + [(1000, None), (1001, " "), (1002, "one two"), (1003, "One  two")]
+
+
+def test_near_copies_match_brute_force(spark):
+    rows = near_copies()
+    sets = [shingle_set(t) for _, t in rows]
+    label, linked = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                linked += 1
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert linked > 300
+    docs = spark.createDataFrame([(i, t, "clash", 7) for i, t in rows], SCHEMA)
+    for block in (1024, 3):
+        got = {r.doc_id: r.component_id for r in simhash.near_copy_classes(docs, block=block).collect()}
+        assert got == {rows[i][0]: rows[x][0] for i, x in enumerate(label)}
+
+
+def test_near_copies_of_odd_rows(spark):
+    assert simhash.near_copy_classes(spark.createDataFrame([], SCHEMA)).collect() == []
+    docs = spark.createDataFrame([(None, "a b", "", 0), (3, "a b", "", 0), (None, "c", "", 0), (3, "q r s t u", "", 0)], SCHEMA)
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_copy_classes(docs).collect())
+    assert got == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
