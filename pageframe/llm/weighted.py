@@ -6,9 +6,9 @@ least value is the sample. Two documents share a sample with a probability equal
 the generalised Jaccard similarity of their weights. The least value itself names
 the sample, as values of different terms, weights or samples do not meet.
 
-Terms are words, hashed to `buckets` feature buckets, so r, c and b are one small table
-of buckets x samples whatever the corpus; it is the only broadcast. Texts are
-shuffled once, by blocks of document ids; their words and weights stay there.
+Terms are words, known by their 64-bit hash; r, c and b come from that hash by native expressions, so no two
+words share them and no table of words is kept. Samples are computed LANES at a time, a row for each such group.
+Texts are shuffled once, by blocks of document ids; their words and weights stay there.
 """
 
 from __future__ import annotations
@@ -18,32 +18,27 @@ from pyspark.sql import functions as F
 
 from pageframe.llm.store import written
 
-BUCKETS = 1 << 14
 SAMPLES = 32
+LANES = 8
 BLOCK = 64
 NO_ID = -(1 << 63)
 
 
-def _uniform(*parts: Column) -> Column:
-    """In (0, 1), from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) * (2.0**-53)
+def _uniform(bits: Column, width: int) -> Column:
+    """In (0, 1), from a number of `width` bits."""
+    return (bits.cast("double") + 0.5) * (2.0**-width)
 
 
-def parameters(docs: DataFrame, buckets: int, samples: int) -> DataFrame:
-    """(bucket, r, lnc, b): arrays over the samples; a Gamma(2, 1) value is minus the log of two uniforms."""
+def _exponents(hashed: Column) -> Column:
+    """A Gamma(2, 1) value: minus the log of two uniforms, from the halves of a hash."""
+    return -F.log(_uniform(F.shiftrightunsigned(hashed, 32), 32) * _uniform(hashed.bitwiseAND(F.lit(0xFFFFFFFF)), 32))
 
-    def line(make) -> Column:
-        return F.array(*[make(k) for k in range(samples)])
 
-    def u(k: int, name: str) -> Column:
-        return _uniform(F.col("bucket"), F.lit(k), F.lit(name))
-
-    return docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).select(
-        "bucket",
-        line(lambda k: -F.log(u(k, "r1") * u(k, "r2"))).alias("r"),
-        line(lambda k: F.log(-F.log(u(k, "c1") * u(k, "c2")))).alias("lnc"),
-        line(lambda k: u(k, "b")).alias("b"),
-    )
+def _value(lane: int) -> Column:
+    """The value of a term of log weight `_lnw` for sample `lane` of the group `_group`."""
+    r, c = (_exponents(F.xxhash64("_term", "_group", F.lit(3 * lane + i))) for i in (0, 1))
+    b = _uniform(F.shiftrightunsigned(F.xxhash64("_term", "_group", F.lit(3 * lane + 2)), 11), 53)
+    return F.log(c) - r * (F.floor(F.col("_lnw") / r + b) + 1.0 - b)
 
 
 def with_next(rows: DataFrame, source: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
@@ -70,7 +65,7 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(text), r"\s+")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, samples: int = SAMPLES) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), as the query of the operator has it.
 
     The edited text is the text with its last half replaced by as many first characters of the next document along
@@ -92,21 +87,15 @@ def fingerprints(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, sa
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("_text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("_edited").alias("body")))
     bodies = placed.select("_block", "_turn", F.explode(sides).alias("_s"))
     bodies = bodies.select("_block", (F.col("_turn").cast("long") * 2 + F.col("_s.side")).alias("_at"), F.explode(_words(F.col("_s.body"))).alias("_word"))
-    bucket = F.pmod(F.xxhash64("_word"), F.lit(buckets))
-    slots = bodies.where("_word <> ''").select("_block", (F.col("_at") * buckets + bucket).alias("_slot"))
-    weights = slots.groupBy("_block", "_slot").agg(F.count(F.lit(1)).alias("_weight"))
-    weights = weights.select("_block", F.expr(f"_slot div {buckets}").alias("_at"), F.pmod("_slot", F.lit(buckets)).cast("int").alias("bucket"), "_weight")
-    table = F.broadcast(parameters(docs, buckets, samples))  # buckets x samples x 3 doubles
-    lnw = F.log(F.col("_weight").cast("double"))
-
-    def value(k: int) -> Column:
-        r, lnc, b = F.col("r")[k], F.col("lnc")[k], F.col("b")[k]
-        return lnc - r * (F.floor(F.col("_lnw") / r + b) + 1.0 - b)
-
-    valued = weights.join(table, "bucket").withColumn("_lnw", lnw)
-    least = valued.groupBy("_block", "_at").agg(*[F.min(value(k)).alias(f"m{k}") for k in range(samples)])
-    digits = [F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(f"m{k}"), 48))), 4, "0") for k in range(samples)]
-    prints = least.select("_block", F.expr("_at div 2").cast("int").alias("_turn"), F.pmod("_at", F.lit(2)).alias("_side"), F.concat(*digits).alias("_print"))
+    terms = bodies.where("_word <> ''").select("_block", "_at", F.xxhash64("_word").alias("_term"))
+    weights = terms.groupBy("_block", "_at", "_term").agg(F.log(F.count(F.lit(1)).cast("double")).alias("_lnw"))
+    groups = F.array(*[F.lit(g) for g in range(-(-samples // LANES))])
+    valued = weights.select("_block", "_at", "_term", "_lnw", F.explode(groups).alias("_group"))
+    least = valued.groupBy("_block", "_at", "_group").agg(*[F.min(_value(k)).alias(f"m{k}") for k in range(LANES)])
+    digits = [F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(f"m{k}"), 48))), 4, "0") for k in range(LANES)]
+    pieces = F.array_sort(F.collect_list(F.struct("_group", F.concat(*digits).alias("digits"))))
+    whole = least.groupBy("_block", "_at").agg(F.substring(F.array_join(pieces["digits"], ""), 1, 4 * samples).alias("_print"))
+    prints = whole.select("_block", F.expr("_at div 2").cast("int").alias("_turn"), F.pmod("_at", F.lit(2)).alias("_side"), "_print")
     texts = placed.select("_block", "_turn", "_key", F.length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
     parts = written(prints.unionByName(texts, allowMissingColumns=True), "prints")  # both read the one shuffle of the texts
 
@@ -124,11 +113,9 @@ def fingerprints(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, sa
     linked = with_next(both.repartition("_block"), both, ["_turn"], "fingerprint", "_next_print")
 
     def likeness(a: str, b: str) -> Column:
-        same = [F.when(F.substring(a, 4 * k + 1, 4) == F.substring(b, 4 * k + 1, 4), 1).otherwise(0) for k in range(samples)]
-        total = same[0]
-        for one in same[1:]:
-            total = total + one
-        return total / F.lit(float(samples))
+        places = F.array(*[F.lit(4 * k + 1) for k in range(samples)])
+        same = F.filter(places, lambda at: F.col(a).substr(at, F.lit(4)) == F.col(b).substr(at, F.lit(4)))
+        return F.size(same) / F.lit(float(samples))
 
     return linked.select(
         F.nullif("_key", F.lit(NO_ID)).alias("doc_id"),

@@ -53,3 +53,9 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = weighted.fingerprints(spark.createDataFrame([(1, "a", 0, "")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_disjoint_texts_are_unlike(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(20_000)) for name in ("left", "right")]
+    docs = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA)
+    assert max(r.near_next for r in weighted.fingerprints(docs).collect()) < 0.04
