@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pageframe.llm.store import written
 
-SAMPLES = 32
+SAMPLES = 64
 LANES = 8
 BLOCK = 64
 NO_ID = -(1 << 63)

@@ -59,3 +59,10 @@ def test_long_disjoint_texts_are_unlike(spark):
     texts = [" ".join(f"{name}{i}" for i in range(20_000)) for name in ("left", "right")]
     docs = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA)
     assert max(r.near_next for r in weighted.fingerprints(docs).collect()) < 0.04
+
+
+def test_default_samples_keep_the_spread(spark):
+    piece = lambda i: " ".join(f"p{i % 300}w{j}" for j in range(10))
+    docs = spark.createDataFrame([(i, piece(i) + " " + piece(i + 1), 0, "") for i in range(300)], SCHEMA)
+    off = [r.near_next - 1 / 3 for r in weighted.fingerprints(docs).collect()]  # deviation 0.059 with 64 samples, 0.083 with 32
+    assert abs(np.mean(off)) < 0.02 and np.sqrt(np.mean(np.square(off))) < 0.07
