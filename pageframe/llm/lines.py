@@ -23,9 +23,12 @@ def _hashes(line: Column) -> list[Column]:
 
 
 def boilerplate(lines: DataFrame, min_sites: int, log_k: int = 10, errors: float = 3.0) -> DataFrame:
-    """(h1, h2, first) of lines on at least `min_sites` sites; `lines` has h1, h2, site and at, of which `first` is the least."""
+    """(h1, h2, first) of lines on at least `min_sites` sites; `lines` has h1, h2, site and at, of which `first` is the least.
+
+    Sketches leave out empty strings, so they take the hash of a site.
+    """
     band = errors * 1.04 / math.sqrt(1 << log_k)
-    sketches = lines.groupBy(*KEY).agg(F.hll_sketch_agg("site", log_k).alias("sketch"), F.min("at").alias("first"))
+    sketches = lines.groupBy(*KEY).agg(F.hll_sketch_agg(F.xxhash64("site"), log_k).alias("sketch"), F.min("at").alias("first"))
     judged = written(sketches.select(*KEY, "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites * (1 - band)), "lines")
     sure = judged.where(F.col("sites") > min_sites * (1 + band))
     unsure = judged.where(F.col("sites") <= min_sites * (1 + band)).select(*KEY, "first")

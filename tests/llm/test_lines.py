@@ -42,3 +42,10 @@ def test_sketches_of_many_sites_agree_with_exact_counts(spark):
 
 def test_empty_table(spark):
     assert lines.without_boilerplate(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_missing_site_counts_at_the_threshold(spark):
+    for missing in (None, ""):
+        rows = [(i, "shared\nown", f"s{i}" if i < 9 else missing) for i in range(10)]
+        docs = spark.createDataFrame([(*r, "", 0, "") for r in rows], SCHEMA)
+        assert sorted(map(tuple, lines.without_boilerplate(docs, min_sites=10).collect()), key=str) == brute(rows, 10)
