@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.llm.store import sliced, written
@@ -278,10 +278,15 @@ def _bucket(length: int, gram: int):
 BUCKET = pa.schema([("lead", pa.binary()), ("id", pa.int64()), ("place", pa.int64()), ("body", pa.binary())])
 
 
+def _row_id(content: Column) -> Column:
+    """64 bits of doc_id and text, so that rows without doc_id, or that repeat one, are told apart by more than their tag."""
+    return F.xxhash64(F.col("doc_id").cast("long"), content)
+
+
 def _tagged(docs: DataFrame, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     content = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        _row_id(content).alias("id"),
         F.crc32(F.encode(content, "utf-8")).bitwiseAND(F.lit(TAG)).cast("int").alias("tag"),
         content.alias("_text"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -291,7 +296,7 @@ def _tagged(docs: DataFrame, text: str, carry: tuple[str, ...] = ()) -> DataFram
 
 def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = 4096) -> DataFrame:
     """Runs of window starts that repeat: (id, tag, start, count), not merged. `tag` tells rows with one id apart."""
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col(text))
+    source = docs.select(_row_id(F.coalesce(F.col(text), F.lit(""))), F.col(text))
     found = source.mapInArrow(_stretches(length, gram), "id long, place long, gram long, whole long")
     shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     candidates = written(found.join(shared, "gram"), "stretches")

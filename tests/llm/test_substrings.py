@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -65,3 +66,13 @@ def test_kept_text_is_cut_at_characters(spark):
     docs = spark.createDataFrame([(1, "a" + shared + "b", 0, "", ""), (2, "ü" + shared, 0, "", "")], SCHEMA)
     got = {r.doc_id: r.kept for r in substrings.without_repeats(docs, keep_text=True).collect()}
     assert got[1] == "ab" and got[2] == "ü"
+
+
+def test_rows_of_one_id_and_tag_keep_their_own_runs(spark):
+    passage = "".join(f"<{i}>" for i in range(100))
+    first = passage + "first"
+    other = next(t for t in (f"{i} " + "".join(f"({j})" for j in range(200)) for i in range(1_000_000)) if (zlib.crc32(t.encode()) ^ zlib.crc32(first.encode())) & 0xFFFF == 0)
+    for id_ in (None, 7):
+        docs = spark.createDataFrame([(id_, first), (id_, other), (9, passage)], "doc_id long, text string")
+        got = {r.n_bytes: r.n_removed for r in substrings.without_repeats(docs).collect()}
+        assert got == {len(first): len(passage), len(other): 0, len(passage): len(passage)}
