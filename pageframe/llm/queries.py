@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import ann, bpe, crf, lines, packing, simhash, substrings, token_files, warc, weighted
+from pageframe.llm import ann, bpe, crf, lines, manifest, packing, simhash, substrings, token_files, warc, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suspect = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), suspect=suspect)
+
+
+ORACLES["op12_merkle_manifest"] = manifest.SQL
