@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import ann, bpe, crf, lines, manifest, packing, simhash, substrings, token_files, warc, weighted
+from pageframe.llm import ann, bpe, crf, epsilon, lines, manifest, packing, phrases, simhash, substrings, token_files, warc, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,19 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_merkle_manifest"] = manifest.SQL
+
+
+@query
+def op13_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsilon.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_epsilon_grid"] = epsilon.SQL
+
+
+@query
+def op11_itemset_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_itemset_phrases"] = phrases.SQL
