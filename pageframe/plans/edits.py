@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pageframe.functions.geometry import rect
 from pageframe.operators import edits as ed
 from pageframe.operators import pages as pg
+from pageframe.operators.reducer import reduce_items
 from pageframe.plans.registry import plan
 from pageframe.sources import bridge
 from pageframe.sources.bridge import duck
@@ -135,6 +136,49 @@ def edt_1(spark, sf):
     return ed.reduce_log(_log(spark, sf))
 
 
+_ITEM = "CASE WHEN action LIKE '%TextInsert' THEN 'text_inserts' WHEN action LIKE '%ImageInsert' THEN 'image_inserts' WHEN action LIKE '%Annotation%' THEN 'annotations' WHEN action LIKE '%Redaction' THEN 'redactions' END"
+
+
+@plan("edt_1_items", duck(f"""
+    WITH RECURSIVE l AS (SELECT slot_id AS doc, seq, {_ACTION_SQL} AS action, concat('p', seq % 3) AS slot, concat('i', seq % 4) AS id, CASE WHEN seq % 5 < 3 THEN CAST(k % 4 AS VARCHAR) END AS pos,
+            CASE WHEN seq % 11 <> 0 THEN map_from_entries([(concat('f', k % 3), CAST(dx AS VARCHAR))]) ELSE CAST(map_from_entries([]) AS MAP(VARCHAR, VARCHAR)) END AS f FROM {{edit_log}}),
+    resets AS (SELECT doc, max(seq) AS rs FROM l WHERE action = 'replaceAll' GROUP BY doc),
+    v AS (SELECT l.*, {_ITEM} AS bucket FROM l LEFT JOIN resets USING (doc) WHERE (rs IS NULL OR seq > rs)
+        UNION ALL SELECT doc, rs, 'add', 'p0', 'i1', NULL, map_from_entries([('restored', CAST(rs AS VARCHAR))]), b FROM resets, (SELECT unnest(['text_inserts', 'image_inserts', 'annotations', 'redactions']) AS b)),
+    a AS (SELECT *, action LIKE 'patch%' AND bucket <> 'redactions' AND pos IN ('0', '1') AND concat('p', pos) <> slot AS moves FROM v WHERE bucket IS NOT NULL),
+    s AS (SELECT doc, bucket, action, concat(slot, '|') AS slot, id, concat(CASE WHEN moves THEN concat('p', pos) ELSE slot END, '|', id) AS target,
+            CASE WHEN moves THEN map_concat(f, map_from_entries([('sourceKey', concat('src', pos)), ('pageIndex', CAST(CAST(pos AS INT) + 10 AS VARCHAR))]))
+                WHEN pos IS NOT NULL AND action LIKE 'patch%' AND bucket = 'redactions' THEN map_concat(f, map_from_entries([('sourceKey', 'any'), ('pageIndex', pos)])) ELSE f END AS f,
+            row_number() OVER (PARTITION BY doc, bucket ORDER BY seq) AS n FROM a),
+    r AS (SELECT DISTINCT doc, bucket, CAST(0 AS BIGINT) AS n, CAST(map_from_entries([]) AS MAP(VARCHAR, MAP(VARCHAR, VARCHAR))) AS m FROM s
+        UNION ALL SELECT s.doc, s.bucket, s.n, CASE
+            WHEN s.action = 'mergeAnnotations' THEN map_concat(map_from_entries(list_filter(map_entries(r.m), lambda e: NOT starts_with(e.key, s.slot))), map_from_entries([(concat(s.slot, s.id), s.f)]))
+            WHEN s.action LIKE 'add%' THEN map_concat(r.m, map_from_entries([(concat(s.slot, s.id), s.f)]))
+            WHEN s.action LIKE 'delete%' THEN map_from_entries(list_filter(map_entries(r.m), lambda e: e.key <> concat(s.slot, s.id)))
+            WHEN map_contains(r.m, concat(s.slot, s.id)) THEN map_concat(map_from_entries(list_filter(map_entries(r.m), lambda e: e.key <> concat(s.slot, s.id))),
+                map_from_entries([(s.target, map_concat(map_extract(r.m, concat(s.slot, s.id))[1], s.f))])) ELSE r.m END
+        FROM r JOIN s ON s.doc = r.doc AND s.bucket = r.bucket AND s.n = r.n + 1),
+    f AS (SELECT doc, bucket, arg_max(m, n) AS m FROM r GROUP BY ALL)
+    SELECT doc, bucket, string_split(e.key, '|')[1] AS slot_id, string_split(e.key, '|')[2] AS id, array_to_string(list_sort(list_transform(map_entries(e.value), lambda x: concat(x.key, '=', x.value))), ',') AS fields
+    FROM (SELECT doc, bucket, unnest(map_entries(m)) AS e FROM f)"""))
+def edt_1_items(spark, sf):
+    """Inserts, annotations and redactions of every user's log, with moves between two pages, merged fields and restored snapshots."""
+    log = _log(spark, sf)
+    none = F.create_map().cast("map<string,string>")
+    named = F.when(F.col("seq") % 11 != 0, F.create_map(F.concat(F.lit("f"), F.col("k") % 3), F.col("dx").cast("string"))).otherwise(none)
+    aim = F.create_map(F.lit("sourceKey"), F.lit("any"), F.lit("pageIndex"), (F.col("k") % 4).cast("string"))
+    log = log.withColumn("fields", F.when(F.col("action").startswith("patch") & (F.col("seq") % 5 < 3), F.map_concat(named, aim)).otherwise(named))
+    resets = log.where("action = 'replaceAll'").select("doc", "seq")
+    buckets = F.explode(F.array(*[F.lit(b) for b in ("text_inserts", "image_inserts", "annotations", "redactions")]))
+    snapshots = resets.select("doc", "seq", buckets.alias("bucket"), F.lit("p0").alias("slot_id"), F.lit("i1").alias("id"), F.create_map(F.lit("restored"), F.col("seq").cast("string")).alias("fields"))
+    pos = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    slots = log.select("doc").distinct().select("doc", pos.alias("pos")).select(
+        "doc", "pos", F.concat(F.lit("p"), "pos").alias("slot_id"), F.when(F.col("pos") < 2, "page").otherwise("blank").alias("kind"), F.concat(F.lit("src"), "pos").alias("source_key"), (F.col("pos") + 10).alias("source_page_index"))
+    done = reduce_items(log.select("doc", "seq", "action", "slot_id", "id", "fields"), slots, snapshots)
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return done.select("doc", "bucket", "slot_id", "id", text.alias("fields"))
+
+
 @plan("edt_2", duck("""
     WITH a AS (SELECT i.doc, concat('t', i.pos) AS id, i.slot_id, i.source_key, i.source_page_index AS pg, t.slot_id AS s0, t.source_key AS k0, t.source_page_index AS p0, u.slot_id AS s2, u.source_key AS k2, u.source_page_index AS p2
         FROM {slots} i LEFT JOIN {slots} t ON t.doc = i.doc AND t.pos = i.pos % 3 AND t.kind = 'page' AND t.slot_id <> i.slot_id LEFT JOIN {slots} u ON u.doc = i.doc AND u.pos = (i.pos + 2) % 3 AND u.kind = 'page' AND u.slot_id <> i.slot_id)
