@@ -186,18 +186,23 @@ def inline_image_ops(ops: DataFrame, rects: DataFrame) -> DataFrame:
 
 
 def _black_out(samples: bytes, width: int, height: int, components: int, windows) -> bytes | None:
-    if samples is None or components not in (1, 3, 4) or len(samples) < width * height * components or not len(windows):
+    if samples is None or components not in (1, 3, 4) or len(samples) < width * height * components:
+        return None
+    if windows is None or all(w is None for w in windows):
         return None
     pixels = np.frombuffer(samples, dtype=np.uint8).copy()
     view = pixels[: width * height * components].reshape(height, width, components)
     fill = np.array([0, 0, 0, 255] if components == 4 else [0] * components, dtype=np.uint8)
-    for w in windows:
+    for w in (w for w in windows if w is not None):
         view[w["y0"] : w["y1"], w["x0"] : w["x1"]] = fill
     return pixels.tobytes()
 
 
 def black_out(samples: Column, width: Column, height: Column, components: Column, windows: Column) -> Column:
-    """Raster samples with pixel windows blackened; null when the raster cannot be repainted."""
+    """Raster samples with pixel windows blackened; null when the raster cannot be repainted.
+
+    Windows that are null, as of a rect off the image, are passed over; without any other the result is null.
+    """
 
     def run(s: pd.Series, w: pd.Series, h: pd.Series, c: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_black_out(*row) for row in zip(s, w, h, c, b)], dtype=object)
@@ -364,12 +369,23 @@ def ink_cuts(annots: DataFrame, rects: DataFrame, keys: Sequence[str]) -> DataFr
 MARKUP = ("Highlight", "Underline", "StrikeOut", "Squiggly")
 
 
+def rect_around(rects: Column) -> Column:
+    """Rect around an array of rects, of which null ones do not count; null without any."""
+    of_box = lambda b: F.when(b.isNotNull(), rect(b["llx"], b["lly"], b["urx"] - b["llx"], b["ury"] - b["lly"]))
+    whole = F.transform(F.array(F.filter(rects, lambda r: r.isNotNull())), box_of_rects)
+    return F.get(F.transform(whole, of_box), F.lit(0))
+
+
 def redact_annotations(annots: DataFrame, rects: DataFrame) -> DataFrame:
     """Annotations after redaction: widgets stay, ink and markup are clipped, the rest goes on overlap.
 
-    Annotations carry id, subtype, rect, quads, strokes, thickness, text.
+    Annotations carry id, subtype, rect, quads, strokes, thickness, text. Markup is placed by its quads as well as by its
+    rect, so that a missing or too small rect hides no text; what has neither stays, as nothing of it can be under a redaction.
     """
-    cuts = page_cuts(annots, rects, ["id"])
+    drawn = F.coalesce(F.transform("quads", quad_rect), F.array().cast("array<struct<x:double,y:double,w:double,h:double>>"))
+    around = rect_around(F.concat(F.array("rect"), drawn))
+    placed = annots.withColumn("rect", F.when(F.col("subtype").isin(*MARKUP), around).otherwise(F.col("rect")))
+    cuts = page_cuts(placed.where("rect IS NOT NULL"), rects, ["id"])
     joined = annots.join(cuts, [*PAGE, "id"], "left")
     touched = F.coalesce(F.size("cuts") > 0, F.lit(False))
     ink = F.col("subtype") == "Ink"
@@ -382,3 +398,28 @@ def redact_annotations(annots: DataFrame, rects: DataFrame) -> DataFrame:
         .unionByName(redact_markup(joined.where(~ink & markup)).select(*columns))
         .unionByName(redact_ink(inked, ["id"]).select(*columns))
     )
+
+
+def redact_new_annotations(annots: DataFrame, rects: DataFrame) -> DataFrame:
+    """Annotations of the annotation table (`normalise_annotations`) after redaction, before they are written.
+
+    On a page with a redaction every highlight loses its text, and its quads their parts under redactions and those
+    without area; one with no quad left goes. Ink is clipped; a comment goes if a redaction overlaps it. Rows carry id,
+    kind, rect, quads, strokes, thickness, text; other kinds go like comments. Pages without redaction stay as they are.
+    """
+    columns = annots.columns
+    marked = annots.join(rects.select(*PAGE).distinct().withColumn("_red", F.lit(True)), PAGE, "left")
+    calm, red = marked.where("_red IS NULL"), marked.where("_red").drop("_red")
+    highlight, ink = F.col("kind") == "highlight", F.col("kind") == "ink"
+    lit = red.where(highlight).withColumn("_rect", F.col("rect")).withColumn("rect", rect_around(F.transform("quads", quad_rect)))
+    cut = lit.join(page_cuts(lit.where("rect IS NOT NULL"), rects, ["id"]), [*PAGE, "id"], "left")
+    none = F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")
+    clipped = cut.withColumn("quads", redact_quads(F.col("quads"), F.coalesce("cuts", none))).where(F.size("quads") > 0)
+    clipped = clipped.withColumn("rect", F.col("_rect")).withColumn("text", F.lit(None).cast("string"))
+    other = red.where(~highlight & ~ink)
+    hit = page_cuts(other.where("rect IS NOT NULL"), rects, ["id"]).select(*PAGE, "id")
+    inked = redact_ink(ink_cuts(red.where(ink), rects, ["id"]), ["id"])
+    return (
+        calm.select(*columns).unionByName(clipped.select(*columns)).unionByName(inked.select(*columns))
+        .unionByName(other.join(hit, [*PAGE, "id"], "left_anti").select(*columns))
+    )

@@ -367,10 +367,28 @@ def red_9(spark, sf):
     SELECT a.id, a.subtype, CASE WHEN hit.id IS NOT NULL AND a.subtype IN ('Highlight', 'Ink') THEN NULL ELSE contents END AS text FROM {{annotations}} a LEFT JOIN hit ON a.id = hit.id
     WHERE a.subtype = 'Widget' OR hit.id IS NULL OR (a.subtype = 'Ink' AND a.aw - hit.ink > 1e-6) OR a.subtype = 'Highlight'"""))
 def red_10(spark, sf):
-    done = rd.redact_annotations(_annots(spark, sf), bridge.redactions(spark, sf))
+    """Every other highlight comes without a rect and is found by its quads."""
+    annots = _annots(spark, sf)
+    annots = annots.withColumn("rect", F.when((F.col("subtype") != "Highlight") | (F.crc32("id") % 2 == 0), F.col("rect")))
+    done = rd.redact_annotations(annots, bridge.redactions(spark, sf))
     return done.select("id", "subtype", "text")
 
 
+@plan("red_10_new", duck(f"""WITH {_CUTS}, hit AS (SELECT id, sum((h - l) * 10) AS lost, sum(ihi - il) AS ink FROM c GROUP BY id), red AS (SELECT DISTINCT source_key, page_index FROM {{redactions}}),
+    k AS (SELECT a.*, red.page_index IS NOT NULL AS red, hit.id IS NOT NULL AS hit, coalesce(lost, 0) AS lost, coalesce(ink, 0) AS ink FROM {{annotations}} a LEFT JOIN hit ON a.id = hit.id
+        LEFT JOIN red ON red.source_key = a.source_key AND red.page_index = a.page_index)
+    SELECT id, CASE WHEN subtype = 'Highlight' THEN round(aw * ah - lost, 6) WHEN subtype = 'Ink' THEN round(aw - ink, 6) END AS left_over, CASE WHEN (subtype = 'Highlight' AND red) OR (subtype = 'Ink' AND hit) THEN NULL ELSE contents END AS text
+    FROM k WHERE CASE subtype WHEN 'Highlight' THEN aw * ah - lost > 1e-6 WHEN 'Ink' THEN aw - ink > 1e-6 ELSE NOT hit END"""))
+def red_10_new(spark, sf):
+    """The annotations as an editor has them: highlights and ink without a rect."""
+    kind = F.when(F.col("subtype") == "Highlight", "highlight").when(F.col("subtype") == "Ink", "ink").otherwise("comment")
+    annots = _annots(spark, sf).withColumn("kind", kind).withColumn("rect", F.when(F.col("kind") == "comment", F.col("rect")))
+    done = rd.redact_new_annotations(annots, bridge.redactions(spark, sf))
+    area = F.aggregate("quads", F.lit(0.0), lambda a, q: a + (q["x2"] - q["x1"]) * (q["y1"] - q["y3"]))
+    pen = F.aggregate("strokes", F.lit(0.0), lambda a, s: a + F.hypot(s[1]["x"] - s[0]["x"], s[1]["y"] - s[0]["y"]))
+    return done.select("id", F.when(F.col("kind") == "highlight", F.round(area, 6)).when(F.col("kind") == "ink", F.round(pen, 6)).alias("left_over"), "text")
+
+
 @plan("red_12", duck("""
     SELECT DISTINCT r.source_key, r.page_index, CAST(unnest([r.line_no % 50, r.line_no % 50 + 100]) AS INT) AS op_index FROM {runs} r JOIN {redactions} d ON r.source_key = d.source_key AND r.page_index = d.page_index
     WHERE r."left" / 2 < rx + rw AND (r."left" + r.width) / 2 > rx AND (1684 - r.top - 36) / 2 < ry + rh AND (1684 - r.top) / 2 > ry"""))
@@ -425,14 +443,14 @@ def qa_2(spark, sf):
 
 
 def _coded(spark, sf):
-    """Tokens as shows: two-byte Thaana codes for half of the documents, one-byte otherwise."""
+    """Tokens as shows: two-byte Thaana codes for half of the documents, one byte otherwise, where other letters become a mark."""
     df = bridge.items(spark, sf)
     wide = F.col("doc_id") % 2 == 0
     odd = F.when(F.col("tok_no") % 9 == 8, F.encode(F.lit("x"), "US-ASCII")).otherwise(F.unhex(F.lit("")))
     two = F.concat(F.encode(F.translate("str", "abcdefghij", "ކއެރތޔުިޮޕ"), "UTF-16BE"), odd)
     return df.select(*PAGE, F.col("index").alias("op_index"), "str", F.when(wide, "F2").otherwise("F1").alias("font"),
                      F.when(wide, "Identity-H").otherwise("WinAnsiEncoding").alias("encoding"),
-                     F.when(wide, two).otherwise(F.encode("str", "ISO-8859-1")).alias("bytes"), "doc_id", "tok_no")
+                     F.when(wide, two).otherwise(F.encode(F.regexp_replace("str", "[^\\x{0000}-\\x{00FF}]", "?"), "ISO-8859-1")).alias("bytes"), "doc_id", "tok_no")
 
 
 def _code_map(spark, sf):
@@ -449,10 +467,10 @@ _KNOWN = r"[^!-y{-ÿ\x{0780}-\x{07BF}]"
 
 
 @plan("join_17", duck(f"""
-    WITH d AS (SELECT source_key, page_index, index, CASE WHEN doc_id % 2 = 0 THEN {_T} ELSE str END AS t, doc_id % 2 = 0 AND tok_no % 9 = 8 AS odd, doc_id % 2 = 1 AND regexp_matches(str, '[^\\x{{0000}}-\\x{{00FF}}]') AS lossy FROM {{items}})
-    SELECT source_key, page_index, index AS op_index, CASE WHEN NOT odd AND NOT regexp_matches(t, '{_KNOWN}') THEN t END AS decoded, regexp_replace(t, '{_KNOWN}', '', 'g') AS lenient FROM d WHERE NOT lossy"""))
+    WITH d AS (SELECT source_key, page_index, index, CASE WHEN doc_id % 2 = 0 THEN {_T} ELSE regexp_replace(str, '[^\\x{{0000}}-\\x{{00FF}}]', '?', 'g') END AS t, doc_id % 2 = 0 AND tok_no % 9 = 8 AS odd FROM {{items}})
+    SELECT source_key, page_index, index AS op_index, CASE WHEN NOT odd AND NOT regexp_matches(t, '{_KNOWN}') THEN t END AS decoded, regexp_replace(t, '{_KNOWN}', '', 'g') AS lenient FROM d"""))
 def join_17(spark, sf):
-    shows = _coded(spark, sf).where((F.col("doc_id") % 2 == 0) | ~F.col("str").rlike("[^\\x{0000}-\\x{00FF}]"))
+    shows = _coded(spark, sf)
     cmap = _code_map(spark, sf)
     keys = ["source_key", "font"]
     strict = decode_glyphs(shows, cmap, True, map_keys=keys)

@@ -116,8 +116,8 @@ _VIEWS = {
         FROM orders""",
     "edges": """
         SELECT concat('O', o_orderkey) AS src, concat('C', o_custkey) AS dst FROM orders
-        UNION ALL SELECT concat('O', l_orderkey), concat('P', l_partkey) FROM lineitem WHERE l_linenumber <= 2
-        UNION ALL SELECT concat('P', l_partkey), concat('S', l_suppkey) FROM lineitem WHERE l_linenumber = 1
+        UNION ALL SELECT concat('O', l_orderkey), concat('P', l_partkey) FROM lineitem
+        UNION ALL SELECT concat('P', l_partkey), concat('S', l_suppkey) FROM lineitem
         UNION ALL SELECT concat('S', s_suppkey), concat('N', s_nationkey) FROM supplier
         UNION ALL SELECT concat('C', c_custkey), concat('N', c_nationkey) FROM customer
         UNION ALL SELECT concat('N', n_nationkey), concat('R', n_regionkey) FROM nation
