@@ -7,7 +7,7 @@ have reached the threshold in what was counted of them so far. Every phrase is c
 for one full cycle. The cycle goes on while some phrase has a scan left.
 
 In a task words and phrases are 64-bit keys, added up before they are shuffled. Which keys
-have reached the threshold is a bit array with a size limit, one bit for each key: a
+have reached the threshold is a bit array of a fixed size, one bit for each key: a
 stray bit only has more phrases counted, never fewer, and the bits do not decide
 anything else. Those that reached the threshold are then counted once more by their words
 as text, so no clash of keys is in a result.
@@ -21,13 +21,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageframe.llm.store import sliced, written
+from pageframe.session import fresh_path
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 HELD = 1 << 21
+LENGTH_BITS = 3
 WORD, BLANK, BREAK = 0, 1, 2
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 
@@ -82,13 +85,17 @@ class Words:
         self.document = np.searchsorted(document_ends, self.begin + at, side="right")
 
     def keys(self, by: Hash, langs: np.ndarray, longest: int) -> Iterator[np.ndarray]:
-        """Keys of the phrases of 1, 2, ... words by the word they begin with, and whether one begins there."""
+        """Keys of the phrases of 1, 2, ... words by the word they begin with, and whether one begins there.
+
+        The lowest `LENGTH_BITS` bits of a key are the number of words less one.
+        """
         word = by.words(self.letters, self.place, self.first, langs[self.document])
+        low = np.uint64((1 << LENGTH_BITS) - 1)
         key = word
-        yield key, np.ones(len(key), bool)
+        yield key & ~low, np.ones(len(key), bool)
         for n in range(2, longest + 1):
             key = by.longer(key[:-1], word[n - 1 :]) if len(key) else key
-            yield key, self.piece[: len(key)] == self.piece[n - 1 :] if len(key) else np.ones(0, bool)
+            yield key & ~low | np.uint64(n - 1), self.piece[: len(key)] == self.piece[n - 1 :] if len(key) else np.ones(0, bool)
 
     def phrase(self, i: int, n: int) -> str:
         return b" ".join(self.lower[a:b].tobytes() for a, b in zip(self.begin[i : i + n].tolist(), self.end[i : i + n].tolist())).decode("utf-8", "replace")
@@ -121,16 +128,13 @@ def _read(batch: pa.RecordBatch) -> tuple[list[bytes], list[str], np.ndarray]:
 
 
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(len(bits) * 64 - 1)
+    at = (keys >> np.uint64(LENGTH_BITS)) & np.uint64(len(bits) * 64 - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def bit_array(keys: DataFrame, most_bits: int) -> np.ndarray:
-    """A bit for each key `k`, 32 bits of room a key up to `most_bits` (a power of two); what the driver gets is at most that."""
-    bits = 1 << 16
-    while bits < min(most_bits, 32 * keys.count()):
-        bits *= 2
-    at = keys.select(F.col("k").bitwiseAND(F.lit(bits - 1).cast("long")).alias("at"))
+def bit_array(keys: DataFrame, bits: int) -> np.ndarray:
+    """`bits` bits (a power of two), of which each key `k` sets one. They are gathered as words of 64, so the driver gets bits / 4 bytes at most."""
+    at = keys.select(F.shiftright("k", LENGTH_BITS).bitwiseAND(F.lit(bits - 1).cast("long")).alias("at"))
     word = F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")
     found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(word).toArrow()
     out = np.zeros(bits // 64, np.int64)
@@ -138,20 +142,17 @@ def bit_array(keys: DataFrame, most_bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _counted(texts: DataFrame, words: bool, known: np.ndarray, fresh: np.ndarray, longest: int) -> DataFrame:
-    """(k, words, c): active phrases of the texts. A longer one is active if both parts are known and one of them is fresh."""
-    sent = texts.sparkSession.sparkContext.broadcast((known, fresh))
+def _counted(texts: DataFrame, words: bool, sent: Broadcast, longest: int) -> DataFrame:
+    """(k, c): active phrases of the texts. A longer one is active if both parts are known and one of them is fresh."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fresh = sent.value
-        by, held = Hash(1), [[] for _ in range(longest)]
+        by, held, size = Hash(1), [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for n, keys in enumerate(held, 1):
-                if keys:
-                    k, c = np.unique(np.concatenate(keys), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), n, np.int32)), pa.array(c)], ["k", "words", "c"])
-                keys.clear()
+        def out() -> pa.RecordBatch:
+            k, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["k", "c"])
 
         for batch in sliced(batches):
             documents, _, langs = _read(batch)
@@ -166,57 +167,65 @@ def _counted(texts: DataFrame, words: bool, known: np.ndarray, fresh: np.ndarray
                         is_known, is_fresh = before
                         active = whole & is_known[:-1] & is_known[1:] & (is_fresh[:-1] | is_fresh[1:])
                     if active.any():
-                        held[n].append(key[active])
+                        held.append(key[active])
+                        size += len(held[-1])
                     if n + 1 < longest:
                         before = has(known, key) & whole, has(fresh, key) & whole
-            if sum(len(x) for keys in held for x in keys) > HELD:
-                yield from out()
-        yield from out()
+                if size > HELD:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
 
-    return texts.select("text", "lang").mapInArrow(run, "k long, words int, c long").groupBy("k", "words").agg(F.sum("c").alias("c"))
+    return texts.select("text", "lang").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
-def _hopeful(tables: list[DataFrame], least: int, most_bits: int) -> DataFrame:
-    """(k, words, c) of phrases that can reach `least` in the tables together: one of them has its share."""
-    if len(tables) == 1:
-        return tables[0]
-    share = -(-least // len(tables))
-    all_rows = reduce(DataFrame.unionByName, tables)
-    sent = all_rows.sparkSession.sparkContext.broadcast(bit_array(written(all_rows.where(F.col("c") >= share).select("k").distinct(), "hopeful"), most_bits))
+def _hopeful(tables: list[DataFrame], sent: Broadcast) -> DataFrame:
+    """(k, c) of phrases in the bit array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(has(sent.value, batch.column("k").to_numpy().view(np.uint64))))
 
-    return all_rows.mapInArrow(run, "k long, words int, c long")
+    return reduce(DataFrame.unionByName, tables).mapInArrow(run, "k long, c long")
+
 
+def reached_keys(texts: DataFrame, least: int, longest: int, shards: int, bits: int) -> DataFrame:
+    """(k): keys of all phrases with `least` occurrences or more; `texts` has text, lang and shard.
 
-def reached_keys(texts: DataFrame, least: int, longest: int, shards: int, most_bits: int) -> DataFrame:
-    """(k, words): keys of all phrases with `least` occurrences or more; `texts` has text, lang and shard."""
-    nothing = np.zeros(1 << 10, np.uint64)
-    known = fresh = nothing
+    The driver holds one bit array for each of the last `shards` scans and two more. A phrase that reaches the threshold has
+    its share of it in some shard; only the counts of such phrases are added up.
+    """
+    send = texts.sparkSession.sparkContext.broadcast
+    known = np.zeros(bits // 64, np.uint64)
+    news: list[np.ndarray] = []
     tables: list[DataFrame] = []
     reached: list[DataFrame] = []
-    news: list[int] = []
     while True:
         step = len(tables)
-        counted = _counted(texts.where(F.col("shard") == step % shards), step < shards, known, fresh, longest)
-        tables.append(written(counted, "counts"))
-        sums = _hopeful(tables[-shards:], least, most_bits).groupBy("k", "words").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("k", "words")
+        fresh = reduce(np.bitwise_or, news[-shards:], np.zeros_like(known))
+        if step >= shards and not fresh.any():
+            return reduce(DataFrame.unionByName, reached)
+        sent = send((known, fresh))
+        tables.append(written(_counted(texts.where(F.col("shard") == step % shards), step < shards, sent, longest), "counts"))
+        sent.destroy()
+        recent = tables[-shards:]
+        share = -(-least // len(recent))
+        sent = send(bit_array(reduce(DataFrame.unionByName, recent).where(F.col("c") >= share), bits))
+        sums = _hopeful(recent, sent).groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("k")
         if reached:
-            sums = sums.join(reduce(DataFrame.unionByName, reached), ["k", "words"], "left_anti")
+            sums = sums.join(reduce(DataFrame.unionByName, reached), "k", "left_anti")
         reached.append(written(sums, "reached"))
-        news.append(reached[-1].where(F.col("words") < longest).count())
-        if step + 1 >= shards and not sum(news[-shards:]):
-            return reduce(DataFrame.unionByName, reached)
-        growing = [r.where(F.col("words") < longest) for r in reached]
-        known = bit_array(reduce(DataFrame.unionByName, growing), most_bits)
-        fresh = bit_array(reduce(DataFrame.unionByName, growing[-shards:]), most_bits)
+        sent.destroy()
+        growing = reached[-1].where(F.col("k").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1).cast("long")) < longest - 1)
+        news.append(bit_array(growing, bits))
+        news[:-shards] = []
+        known = known | news[-1]
 
 
-def exact_counts(texts: DataFrame, reached: DataFrame, longest: int, most_bits: int) -> DataFrame:
+def exact_counts(texts: DataFrame, reached: DataFrame, longest: int, bits: int) -> DataFrame:
     """(lang, words, phrase, a): occurrences of what `reached` names, by text; with words = 0 all words of a lang."""
-    sent = texts.sparkSession.sparkContext.broadcast(bit_array(reached, most_bits))
+    sent = texts.sparkSession.sparkContext.broadcast(bit_array(reached, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, by, other = sent.value, Hash(1), Hash(2)
@@ -256,7 +265,7 @@ def exact_counts(texts: DataFrame, reached: DataFrame, longest: int, most_bits:
     return texts.select("text", "lang").mapInArrow(run, "lang string, words int, phrase string, a long").groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, per_lang: int = 2000, covered: int = 80, shards: int = 3, most_bits: int = 1 << 26) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, per_lang: int = 2000, covered: int = 80, shards: int = 3, bits: int = 1 << 25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `per_lang` phrases of 2 to `longest` words of each lang.
 
     A-Z is lower-cased; pieces end at a mark or a line break, words at blanks and tabs. `a` counts all occurrences, `n` all
@@ -264,11 +273,18 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, per_lang: i
     then the smallest k. A phrase goes if a longer one that holds it has `covered` percent of its occurrences or more. Order:
     score, then a, both falling, then phrase by bytes. A null or empty text has no words, very long texts count whole, equal
     rows count each, other columns are ignored; an empty table gives no row.
+
+    Text and lang are written once, by shard, so that a scan reads its shard alone. `bits` is the size of the bit arrays.
     """
+    if not 2 <= longest <= 1 << LENGTH_BITS:
+        raise ValueError("longest is out of range")
     shard = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards))
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"), shard.alias("shard"))
-    reached = reached_keys(texts, least, longest, shards, most_bits)
-    counted = written(exact_counts(texts, reached, longest, most_bits).where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"), shard.cast("int").alias("shard"))
+    path = fresh_path(docs.sparkSession, "shards")
+    texts.write.partitionBy("shard").parquet(path)
+    texts = docs.sparkSession.read.schema(texts.schema).parquet(path)
+    reached = reached_keys(texts, least, longest, shards, bits)
+    counted = written(exact_counts(texts, reached, longest, bits).where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
     words = counted.where("words > 0").select("lang", "phrase", "a")
     long = counted.where("words > 1").withColumn("w", F.split("phrase", " "))
     part = lambda begin, size: F.array_join(F.slice("w", begin, size), " ")
