@@ -22,8 +22,9 @@ def flag(flags: Column, name: str) -> Column:
 
 def flatten_fields(nodes: DataFrame) -> DataFrame:
     """One row per fillable or signature field with kind, flags and inherited type and value."""
-    inherited = inherit(nodes, ["ft", "ff", "v"]).select("node_id", "ft", "ff", "v")
-    fields = terminal_fields(nodes).select("node_id", "full_name").join(inherited, "node_id")
+    keys = ["source_key", "node_id"]
+    inherited = inherit(nodes, ["ft", "ff", "v"]).select(*keys, "ft", "ff", "v")
+    fields = terminal_fields(nodes).select(*keys, "full_name").join(inherited, keys)
     ff = F.col("ff")
     kind = (
         F.when(F.col("ft") == "Tx", "text")
@@ -35,7 +36,7 @@ def flatten_fields(nodes: DataFrame) -> DataFrame:
     )
     typed = fields.withColumn("kind", kind).where(F.col("kind").isNotNull())
     return typed.select(
-        "node_id", "full_name", "kind", "v", flag(ff, "read_only").alias("read_only"), flag(ff, "required").alias("required"),
+        *keys, "full_name", "kind", "v", flag(ff, "read_only").alias("read_only"), flag(ff, "required").alias("required"),
         *[F.when(F.col("kind") == k, flag(ff, n)).alias(n) for k, n in (
             ("text", "multiline"), ("text", "password"), ("text", "file_select"), ("choice", "combo"), ("choice", "multi_select"))],
     )
@@ -78,8 +79,9 @@ def checkbox_on_state(states: Column) -> Column:
 
 def widget_pages(widgets: DataFrame, page_annots: DataFrame) -> DataFrame:
     """Page of each widget by the annotation lists of the pages, -1 when no page lists it."""
-    listed = page_annots.groupBy("node_id").agg(F.max("page_index").alias("page_index"))
-    return widgets.drop("page_index").join(listed, "node_id", "left").withColumn("page_index", F.coalesce("page_index", F.lit(-1)))
+    keys = ["source_key", "node_id"]
+    listed = page_annots.groupBy(*keys).agg(F.max("page_index").alias("page_index"))
+    return widgets.drop("page_index").join(listed, keys, "left").withColumn("page_index", F.coalesce("page_index", F.lit(-1)))
 
 
 def match_form_fills(fills: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +113,7 @@ def apply_fills(fills: DataFrame) -> DataFrame:
 
 def widget_states(widgets: DataFrame, filled: DataFrame) -> DataFrame:
     """Appearance state of each widget of a filled button: radio lights only the widget that is chosen."""
-    joined = widgets.join(filled.select("node_id", "kind", "v").withColumnRenamed("node_id", "field_id"), "field_id")
+    joined = widgets.join(filled.select("source_key", F.col("node_id").alias("field_id"), "kind", "v"), ["source_key", "field_id"])
     shown = F.when(F.col("kind") == "checkbox", F.col("v")).when(on_state(F.col("states")) == F.col("v"), F.col("v")).otherwise(OFF)
     return joined.where(F.col("kind").isin("checkbox", "radio")).withColumn("as", shown)
 
@@ -124,10 +126,11 @@ def redact_fields(nodes: DataFrame, rects: DataFrame, rect_col: str = "red") ->
     """
     widgets = nodes.where(F.col("is_widget") & F.col("rect").isNotNull())
     hit = overlap_join(widgets.select("source_key", "page_index", "node_id", "rect"), rects.select("source_key", "page_index", rect_col),
-                       "rect", rect_col).select("node_id").distinct()
+                       "rect", rect_col).select("source_key", "node_id").distinct()
+    keys = ["source_key", "node_id"]
     tops = top_ancestor(nodes)
-    gone = tops.join(hit, "node_id", "left_semi").select(F.col("top").alias("node_id")).distinct()
+    gone = tops.join(hit, keys, "left_semi").select("source_key", F.col("top").alias("node_id")).distinct()
     cleared = scrub_tree(nodes, gone)
     is_top = gone.withColumn("_top", F.lit(True))
-    flagged = cleared.join(is_top, "node_id", "left")
+    flagged = cleared.join(is_top, keys, "left")
     return flagged.withColumn("removed", F.col("scrubbed") & (F.col("is_widget") | F.coalesce("_top", F.lit(False)))).drop("_top")

@@ -14,16 +14,16 @@ from pageframe.sources import bridge
 from pageframe.sources.bridge import duck
 
 _PATHS = """
-    up AS (SELECT node_id AS n, node_id AS a, 0 AS d FROM {form_nodes}
-        UNION ALL SELECT up.n, f.parent_id, up.d + 1 FROM up JOIN {form_nodes} f ON f.node_id = up.a WHERE f.parent_id IS NOT NULL),
-    anc AS (SELECT up.n, up.a, up.d, f.name, f.ft, f.ff, f.v, f.is_widget FROM up JOIN {form_nodes} f ON f.node_id = up.a),
-    inh AS (SELECT n AS node_id, arg_min(ft, d) FILTER (ft IS NOT NULL) AS ft, arg_min(a, d) FILTER (ft IS NOT NULL) AS ft_owner, arg_min(ff, d) FILTER (ff IS NOT NULL) AS ff,
-                   arg_min(v, d) FILTER (v IS NOT NULL) AS v, coalesce(string_agg(name, '.' ORDER BY d DESC), '') AS full_name, arg_max(a, d) AS top FROM anc GROUP BY n),
-    isf AS (SELECT DISTINCT a AS node_id FROM up JOIN {form_nodes} f ON f.node_id = up.n WHERE f.name IS NOT NULL),
-    term AS (SELECT f.node_id FROM {form_nodes} f WHERE (f.node_id IN (SELECT node_id FROM isf) OR f.parent_id IS NULL)
-        AND NOT EXISTS (SELECT 1 FROM {form_nodes} k JOIN isf ON isf.node_id = k.node_id WHERE k.parent_id = f.node_id)),
+    up AS (SELECT source_key AS sk, node_id AS n, node_id AS a, 0 AS d FROM {form_nodes}
+        UNION ALL SELECT up.sk, up.n, f.parent_id, up.d + 1 FROM up JOIN {form_nodes} f ON f.source_key = up.sk AND f.node_id = up.a WHERE f.parent_id IS NOT NULL),
+    anc AS (SELECT up.sk, up.n, up.a, up.d, f.name, f.ft, f.ff, f.v, f.is_widget FROM up JOIN {form_nodes} f ON f.source_key = up.sk AND f.node_id = up.a),
+    inh AS (SELECT sk AS source_key, n AS node_id, arg_min(ft, d) FILTER (ft IS NOT NULL) AS ft, arg_min(a, d) FILTER (ft IS NOT NULL) AS ft_owner, arg_min(ff, d) FILTER (ff IS NOT NULL) AS ff,
+                   arg_min(v, d) FILTER (v IS NOT NULL) AS v, coalesce(string_agg(name, '.' ORDER BY d DESC), '') AS full_name, arg_max(a, d) AS top FROM anc GROUP BY sk, n),
+    isf AS (SELECT DISTINCT up.sk AS source_key, a AS node_id FROM up JOIN {form_nodes} f ON f.source_key = up.sk AND f.node_id = up.n WHERE f.name IS NOT NULL),
+    term AS (SELECT f.source_key, f.node_id FROM {form_nodes} f WHERE ((f.source_key, f.node_id) IN (SELECT (source_key, node_id) FROM isf) OR f.parent_id IS NULL)
+        AND NOT EXISTS (SELECT 1 FROM {form_nodes} k JOIN isf ON isf.source_key = k.source_key AND isf.node_id = k.node_id WHERE k.source_key = f.source_key AND k.parent_id = f.node_id)),
     fld AS (SELECT i.*, CASE WHEN ft = 'Tx' THEN 'text' WHEN ft = 'Btn' AND (coalesce(ff, 0) & 65536) <> 0 THEN NULL WHEN ft = 'Btn' AND (coalesce(ff, 0) & 32768) <> 0 THEN 'radio'
-        WHEN ft = 'Btn' THEN 'checkbox' WHEN ft = 'Ch' THEN 'choice' WHEN ft = 'Sig' THEN 'signature' END AS kind FROM inh i JOIN term USING (node_id) WHERE full_name <> '')"""
+        WHEN ft = 'Btn' THEN 'checkbox' WHEN ft = 'Ch' THEN 'choice' WHEN ft = 'Sig' THEN 'signature' END AS kind FROM inh i JOIN term USING (source_key, node_id) WHERE full_name <> '')"""
 
 
 def _nodes(spark, sf):
@@ -48,48 +48,48 @@ def grf_1_unreachable(spark, sf):
     return gr.unreachable(nodes, edges, roots)
 
 
-@plan("grf_2", duck(f"WITH RECURSIVE {_PATHS} SELECT node_id, ft, ft_owner, ff, v FROM inh"))
+@plan("grf_2", duck(f"WITH RECURSIVE {_PATHS} SELECT source_key, node_id, ft, ft_owner, ff, v FROM inh"))
 def grf_2(spark, sf):
-    return gr.inherit(_nodes(spark, sf), ["ft", "ff", "v"]).select("node_id", "ft", "ft_owner", "ff", "v")
+    return gr.inherit(_nodes(spark, sf), ["ft", "ff", "v"]).select("source_key", "node_id", "ft", "ft_owner", "ff", "v")
 
 
-@plan("grf_3", duck(f"WITH RECURSIVE {_PATHS} SELECT node_id, full_name FROM inh"))
+@plan("grf_3", duck(f"WITH RECURSIVE {_PATHS} SELECT source_key, node_id, full_name FROM inh"))
 def grf_3(spark, sf):
     return gr.qualified_name(_nodes(spark, sf))
 
 
-@plan("grf_4", duck(f"WITH RECURSIVE {_PATHS} SELECT node_id, full_name FROM inh JOIN term USING (node_id) WHERE full_name <> ''"))
+@plan("grf_4", duck(f"WITH RECURSIVE {_PATHS} SELECT source_key, node_id, full_name FROM inh JOIN term USING (source_key, node_id) WHERE full_name <> ''"))
 def grf_4(spark, sf):
-    return gr.terminal_fields(_nodes(spark, sf)).select("node_id", "full_name")
+    return gr.terminal_fields(_nodes(spark, sf)).select("source_key", "node_id", "full_name")
 
 
-@plan("grf_5", duck(f"WITH RECURSIVE {_PATHS} SELECT node_id, top FROM inh"))
+@plan("grf_5", duck(f"WITH RECURSIVE {_PATHS} SELECT source_key, node_id, top FROM inh"))
 def grf_5(spark, sf):
     return gr.top_ancestor(_nodes(spark, sf))
 
 
 @plan("grf_6", duck(f"""WITH RECURSIVE {_PATHS},
-    s AS (SELECT DISTINCT n FROM up JOIN {{form_nodes}} f ON f.node_id = up.a WHERE f.node_id LIKE 'N1%' OR f.node_id LIKE 'C%7')
-    SELECT f.node_id, CASE WHEN s.n IS NULL THEN f.v END AS v, s.n IS NOT NULL AS scrubbed FROM {{form_nodes}} f LEFT JOIN s ON s.n = f.node_id"""))
+    s AS (SELECT DISTINCT sk, n FROM up WHERE (sk = 'form' AND a LIKE 'N1%') OR a LIKE 'C%7')
+    SELECT f.source_key, f.node_id, CASE WHEN s.n IS NULL THEN f.v END AS v, s.n IS NOT NULL AS scrubbed FROM {{form_nodes}} f LEFT JOIN s ON s.sk = f.source_key AND s.n = f.node_id"""))
 def grf_6(spark, sf):
     nodes = _nodes(spark, sf)
-    roots = nodes.where(F.col("node_id").like("N1%") | F.col("node_id").like("C%7"))
-    return gr.scrub_tree(nodes, roots).select("node_id", "v", "scrubbed")
+    roots = nodes.where((F.col("node_id").like("N1%") & (F.col("source_key") == "form")) | F.col("node_id").like("C%7"))
+    return gr.scrub_tree(nodes, roots).select("source_key", "node_id", "v", "scrubbed")
 
 
 @plan("frm_1", duck(f"""WITH RECURSIVE {_PATHS}
-    SELECT node_id, full_name, kind, (coalesce(ff, 0) & 1) <> 0 AS read_only, (coalesce(ff, 0) & 2) <> 0 AS required, CASE WHEN kind = 'text' THEN (coalesce(ff, 0) & 4096) <> 0 END AS multiline,
+    SELECT source_key, node_id, full_name, kind, (coalesce(ff, 0) & 1) <> 0 AS read_only, (coalesce(ff, 0) & 2) <> 0 AS required, CASE WHEN kind = 'text' THEN (coalesce(ff, 0) & 4096) <> 0 END AS multiline,
            CASE WHEN kind = 'choice' THEN (coalesce(ff, 0) & 131072) <> 0 END AS combo, CASE WHEN kind = 'choice' THEN (coalesce(ff, 0) & 2097152) <> 0 END AS multi_select FROM fld WHERE kind IS NOT NULL"""))
 def frm_1(spark, sf):
-    return fm.flatten_fields(_nodes(spark, sf)).select("node_id", "full_name", "kind", "read_only", "required", "multiline", "combo", "multi_select")
+    return fm.flatten_fields(_nodes(spark, sf)).select("source_key", "node_id", "full_name", "kind", "read_only", "required", "multiline", "combo", "multi_select")
 
 
 @plan("frm_2", duck(f"""WITH RECURSIVE {_PATHS}
-    SELECT node_id, CASE WHEN kind = 'text' THEN coalesce(v, '') END AS text, CASE WHEN kind = 'checkbox' THEN coalesce(v, 'Off') <> 'Off' END AS checked, CASE WHEN kind = 'radio' AND v <> 'Off' THEN v END AS radio,
+    SELECT source_key, node_id, CASE WHEN kind = 'text' THEN coalesce(v, '') END AS text, CASE WHEN kind = 'checkbox' THEN coalesce(v, 'Off') <> 'Off' END AS checked, CASE WHEN kind = 'radio' AND v <> 'Off' THEN v END AS radio,
            CASE WHEN kind = 'choice' THEN coalesce(v, '') END AS chosen FROM fld WHERE kind IS NOT NULL"""))
 def frm_2(spark, sf):
     fields = fm.flatten_fields(_nodes(spark, sf)).withColumn("val", fm.field_values(F.col("kind"), F.col("v")))
-    return fields.select("node_id", "val.text", "val.checked", "val.radio", F.array_join("val.chosen", ",").alias("chosen"))
+    return fields.select("source_key", "node_id", "val.text", "val.checked", "val.radio", F.array_join("val.chosen", ",").alias("chosen"))
 
 
 @plan("frm_3", """
@@ -136,12 +136,12 @@ def frm_5(spark, sf):
 @plan("join_15", duck(f"""WITH RECURSIVE {_PATHS},
     fills AS (SELECT concat(r_name, '.', n_name, '.', c_name) AS full_name, CASE c_custkey % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'checkbox' WHEN 2 THEN 'choice' ELSE 'radio' END AS kind, c_custkey
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-    SELECT f.c_custkey, fld.node_id FROM fills f LEFT JOIN fld ON fld.full_name = f.full_name AND fld.ft = CASE f.kind WHEN 'text' THEN 'Tx' WHEN 'choice' THEN 'Ch' ELSE 'Btn' END"""))
+    SELECT f.c_custkey, fld.node_id FROM fills f LEFT JOIN fld ON fld.source_key = 'form' AND fld.full_name = f.full_name AND fld.ft = CASE f.kind WHEN 'text' THEN 'Tx' WHEN 'choice' THEN 'Ch' ELSE 'Btn' END"""))
 def join_15(spark, sf):
     """Fills by name, matched and unmatched together."""
     nodes = _nodes(spark, sf)
-    fields = gr.terminal_fields(nodes).select("node_id", "full_name").join(gr.inherit(nodes, ["ft"]).select("node_id", "ft"), "node_id")
-    fields = fields.withColumn("source_key", F.lit("form"))
+    keys = ["source_key", "node_id"]
+    fields = gr.terminal_fields(nodes).select(*keys, "full_name").join(gr.inherit(nodes, ["ft"]).select(*keys, "ft"), keys)
     cust, nat, reg = (bridge.table(spark, sf, t) for t in ("customer", "nation", "region"))
     joined = cust.join(nat, cust.c_nationkey == nat.n_nationkey).join(reg, nat.n_regionkey == reg.r_regionkey)
     kinds = F.array(F.lit("text"), F.lit("checkbox"), F.lit("choice"), F.lit("radio"))
@@ -152,26 +152,31 @@ def join_15(spark, sf):
 
 
 @plan("join_16", """
-    SELECT concat('O', o_orderkey) AS node_id, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE CAST(o_orderkey % 40 AS INT) END AS page_index FROM orders""")
+    SELECT 'form' AS source_key, concat('O', o_orderkey) AS node_id, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE CAST(o_orderkey % 40 AS INT) END AS page_index FROM orders
+    UNION ALL SELECT 'copy', concat('C', c_custkey), CASE WHEN c_custkey % 10 = 0 THEN 7 ELSE -1 END FROM customer WHERE c_custkey % 5 = 0""")
 def join_16(spark, sf):
-    widgets = _nodes(spark, sf).where("is_widget").select("node_id", "page_index")
+    widgets = _nodes(spark, sf).where("is_widget").select("source_key", "node_id", "page_index")
     annots = bridge.table(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(
-        F.concat(F.lit("O"), "o_orderkey").alias("node_id"), (F.col("o_orderkey") % 40).cast("int").alias("page_index"))
+        F.lit("form").alias("source_key"), F.concat(F.lit("O"), "o_orderkey").alias("node_id"), (F.col("o_orderkey") % 40).cast("int").alias("page_index"))
+    listed = bridge.table(spark, sf, "customer").where("c_custkey % 10 = 0")
+    annots = annots.unionByName(listed.select(F.lit("copy").alias("source_key"), F.concat(F.lit("C"), "c_custkey").alias("node_id"), F.lit(7).alias("page_index")))
     return fm.widget_pages(widgets, annots)
 
 
 @plan("red_11", duck(f"""WITH RECURSIVE {_PATHS},
-    t AS (SELECT DISTINCT i.top FROM {{form_nodes}} w JOIN inh i ON i.node_id = w.node_id WHERE w.is_widget AND w.page_index = 3 AND w.x < 60 AND w.x + 40 > 20 AND w.y < 700 AND w.y + 20 > 10 AND i.top IN ('R1', 'R3'))
-    SELECT f.node_id, CASE WHEN t.top IS NULL THEN f.v END AS v, t.top IS NOT NULL AND (f.is_widget OR f.node_id = t.top) AS removed FROM {{form_nodes}} f JOIN inh i ON i.node_id = f.node_id LEFT JOIN t ON t.top = i.top"""))
+    t AS (SELECT DISTINCT i.source_key, i.top FROM {{form_nodes}} w JOIN inh i ON i.source_key = w.source_key AND i.node_id = w.node_id WHERE w.source_key = 'form' AND w.is_widget AND w.page_index = 3 AND w.x < 60 AND w.x + 40 > 20 AND w.y < 700 AND w.y + 20 > 10 AND i.top IN ('R1', 'R3'))
+    SELECT concat(f.source_key, '/', i.top) AS source_key, f.node_id, CASE WHEN t.top IS NULL THEN f.v END AS v, t.top IS NOT NULL AND (f.is_widget OR f.node_id = t.top) AS removed
+    FROM {{form_nodes}} f JOIN inh i ON i.source_key = f.source_key AND i.node_id = f.node_id LEFT JOIN t ON t.source_key = i.source_key AND t.top = i.top"""))
 def red_11(spark, sf):
-    """Two of the five top fields lie under the rect: each region is a source of its own."""
+    """Two of the top fields lie under the rect: each region of each form is a source of its own."""
     nodes = _nodes(spark, sf)
     tops = cut_lineage(gr.top_ancestor(nodes))
-    placed = nodes.join(tops, "node_id").withColumn("source_key", F.col("top")).drop("top")
+    own = F.concat_ws("/", "source_key", "top")
+    placed = nodes.join(tops, ["source_key", "node_id"]).withColumn("source_key", own).drop("top")
     placed = placed.withColumn("rect", F.when(F.col("is_widget"), rect(F.col("x"), F.col("y"), 40.0, 20.0)))
-    reds = tops.where("top in ('R1', 'R3')").select(F.col("top").alias("source_key")).distinct().select(
+    reds = tops.where("top in ('R1', 'R3') AND source_key = 'form'").select(own.alias("source_key")).distinct().select(
         "source_key", F.lit(3).alias("page_index"), rect(20.0, 10.0, 40.0, 690.0).alias("red"))
-    return fm.redact_fields(placed, reds).select("node_id", "v", "removed")
+    return fm.redact_fields(placed, reds).select("source_key", "node_id", "v", "removed")
 
 
 def _raw_annots(spark, sf):

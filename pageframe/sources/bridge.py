@@ -94,26 +94,38 @@ _VIEWS = {
                595e0 AS w, 842e0 AS h, text
         FROM conversations""",
     "form_nodes": """
-        SELECT concat('R', r_regionkey) AS node_id, CAST(NULL AS STRING) AS parent_id, r_name AS name,
+        SELECT 'form' AS source_key, concat('R', r_regionkey) AS node_id, CAST(NULL AS STRING) AS parent_id, r_name AS name,
                CASE WHEN r_regionkey % 2 = 0 THEN 'Tx' END AS ft, CAST(NULL AS INT) AS ff,
                CAST(NULL AS STRING) AS v, false AS is_widget, -1 AS page_index, 0e0 AS x, 0e0 AS y
         FROM region
         UNION ALL
-        SELECT concat('N', n_nationkey), concat('R', n_regionkey), n_name,
+        SELECT 'form', concat('N', n_nationkey), concat('R', n_regionkey), n_name,
                CASE n_nationkey % 4 WHEN 0 THEN 'Tx' WHEN 1 THEN 'Btn' WHEN 2 THEN 'Ch' END,
                CASE n_nationkey % 4 WHEN 0 THEN 4097 WHEN 1 THEN CASE WHEN n_nationkey % 8 = 1 THEN 32768 ELSE 2 END
                     WHEN 2 THEN 131072 + 2097152 END, CAST(NULL AS STRING), false, -1, 0e0, 0e0
         FROM nation
         UNION ALL
-        SELECT concat('C', c_custkey), concat('N', c_nationkey), c_name,
+        SELECT 'form', concat('C', c_custkey), concat('N', c_nationkey), c_name,
                CASE WHEN c_custkey % 17 = 0 THEN 'Sig' END, CASE WHEN c_custkey % 13 = 0 THEN 65536 + 3 END,
                CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN 'Off' END, false, -1, 0e0, 0e0
         FROM customer
         UNION ALL
-        SELECT concat('O', o_orderkey), concat('C', o_custkey), CAST(NULL AS STRING), CAST(NULL AS STRING),
+        SELECT 'form', concat('O', o_orderkey), concat('C', o_custkey), CAST(NULL AS STRING), CAST(NULL AS STRING),
                CAST(NULL AS INT), CAST(NULL AS STRING), true, CAST(o_orderkey % 40 AS INT),
                CAST(o_orderkey % 50 AS DOUBLE) * 10, CAST(o_orderkey % 80 AS DOUBLE) * 10
-        FROM orders""",
+        FROM orders
+        UNION ALL
+        SELECT 'copy', concat('R', r_regionkey), CAST(NULL AS STRING), CASE WHEN r_regionkey < 4 THEN concat('copy of ', r_name) END,
+               CASE WHEN r_regionkey % 2 = 1 THEN 'Ch' END, 2, 'kept', false, -1, 0e0, 0e0
+        FROM region
+        UNION ALL
+        SELECT 'copy', concat('N', n_nationkey), concat('R', (n_regionkey + 1) % 5), n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'Tx' END,
+               CAST(NULL AS INT), CAST(NULL AS STRING), false, -1, 0e0, 0e0
+        FROM nation
+        UNION ALL
+        SELECT 'copy', concat('C', c_custkey), concat('N', (c_nationkey + 7) % 25), CASE WHEN c_custkey % 5 > 0 THEN c_name END,
+               CAST(NULL AS STRING), CAST(NULL AS INT), CAST(NULL AS STRING), c_custkey % 5 = 0, -1, 0e0, 0e0
+        FROM customer""",
     "edges": """
         SELECT concat('O', o_orderkey) AS src, concat('C', o_custkey) AS dst FROM orders
         UNION ALL SELECT concat('O', l_orderkey), concat('P', l_partkey) FROM lineitem
