@@ -7,7 +7,7 @@ have reached the threshold in what was counted of them so far. Every phrase is c
 for one full cycle. The cycle goes on while some phrase has a scan left.
 
 In a task words and phrases are 64-bit keys, added up before they are shuffled. Which keys
-have reached the threshold is a bit array of a fixed size, one bit for each key: a
+have reached the threshold is a bit array of a fixed size, two bits for each key: a
 stray bit only has more phrases counted, never fewer, and the bits do not decide
 anything else. Those that reached the threshold are then counted once more by their words
 as text, so no clash of keys is in a result.
@@ -127,14 +127,24 @@ def _read(batch: pa.RecordBatch) -> tuple[list[bytes], list[str], np.ndarray]:
     return texts, langs, np.array([keys[x] for x in langs], np.uint64)
 
 
+#: Shifts that give a key its two places in a bit array of up to 2^29 bits.
+PROBES = (LENGTH_BITS, 35)
+
+
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = (keys >> np.uint64(LENGTH_BITS)) & np.uint64(len(bits) * 64 - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    def probe(keys: np.ndarray, shift: int) -> np.ndarray:
+        at = (keys >> np.uint64(shift)) & np.uint64(len(bits) * 64 - 1)
+        return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+    found = probe(keys, PROBES[0])
+    first = np.flatnonzero(found)
+    found[first] = probe(keys[first], PROBES[1])
+    return found
 
 
 def bit_array(keys: DataFrame, bits: int) -> np.ndarray:
-    """`bits` bits (a power of two), of which each key `k` sets one. They are gathered as words of 64, so the driver gets bits / 4 bytes at most."""
-    at = keys.select(F.shiftright("k", LENGTH_BITS).bitwiseAND(F.lit(bits - 1).cast("long")).alias("at"))
+    """`bits` bits (a power of two), of which each key `k` sets two. They are gathered as words of 64, so the driver gets bits / 4 bytes at most."""
+    at = keys.select(F.explode(F.array(*[F.shiftright("k", s).bitwiseAND(F.lit(bits - 1).cast("long")) for s in PROBES])).alias("at"))
     word = F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")
     found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(word).toArrow()
     out = np.zeros(bits // 64, np.int64)
@@ -142,6 +152,18 @@ def bit_array(keys: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def grouped(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal (key, check) together, and where each group begins in it."""
+    order = np.argsort(key)
+    ahead = key[order]
+    new = np.concatenate([[True], ahead[1:] != ahead[:-1]])
+    second = check[order]
+    if (second[1:] != second[:-1])[~new[1:]].any():
+        order = np.lexsort((check, key))
+        new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(check[order]) != 0)])
+    return order, np.flatnonzero(new)
+
+
 def _counted(texts: DataFrame, words: bool, sent: Broadcast, longest: int) -> DataFrame:
     """(k, c): active phrases of the texts. A longer one is active if both parts are known and one of them is fresh."""
 
@@ -243,16 +265,18 @@ def exact_counts(texts: DataFrame, reached: DataFrame, longest: int, bits: int)
             for s in stretches(documents):
                 for i, c in zip(*(x.tolist() for x in np.unique(s.document, return_counts=True))):
                     totals[names[i]] = totals.get(names[i], 0) + c
-                for n, ((key, whole), (check, _)) in enumerate(zip(s.keys(by, langs, longest), s.keys(other, langs, longest)), 1):
+                second, _ = next(s.keys(other, langs, 1))
+                for n, (key, whole) in enumerate(s.keys(by, langs, longest), 1):
                     at = np.flatnonzero(whole & has(wanted, key)) if len(key) else np.empty(0, np.int64)
                     if not len(at):
                         continue
-                    pairs = np.stack([key[at], check[at]], axis=1)
-                    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                    pairs = pairs[order]
-                    first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)]))
+                    key, check = key[at], second[at]
+                    for i in range(1, n):
+                        check = other.longer(check, second[at + i])
+                    order, first = grouped(key, check)
                     counts = np.diff(np.concatenate([first, [len(at)]]))
-                    for name, i, c in zip(np.ascontiguousarray(pairs[first]).view("V16").ravel().tolist(), at[order[first]].tolist(), counts.tolist()):
+                    pairs = np.stack([key[order[first]], check[order[first]]], axis=1)
+                    for name, i, c in zip(pairs.view("V16").ravel().tolist(), at[order[first]].tolist(), counts.tolist()):
                         entry = found.get(name)
                         if entry is None:
                             found[name] = [names[s.document[i]], n, s.phrase(i, n), c]
@@ -265,7 +289,7 @@ def exact_counts(texts: DataFrame, reached: DataFrame, longest: int, bits: int)
     return texts.select("text", "lang").mapInArrow(run, "lang string, words int, phrase string, a long").groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a"))
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, per_lang: int = 2000, covered: int = 80, shards: int = 3, bits: int = 1 << 25) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, per_lang: int = 2000, covered: int = 80, shards: int = 3, bits: int = 1 << 26) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `per_lang` phrases of 2 to `longest` words of each lang.
 
     A-Z is lower-cased; pieces end at a mark or a line break, words at blanks and tabs. `a` counts all occurrences, `n` all

@@ -71,5 +71,12 @@ def test_keys_of_long_words_differ_in_every_place():
         assert len(np.unique(key)) == len(words)
 
 
+def test_groups_of_clashing_keys_are_told_apart():
+    key, check = np.array([5, 3, 5, 3, 5], np.uint64), np.array([1, 2, 9, 2, 1], np.uint64)
+    order, first = phrases.grouped(key, check)
+    groups = [sorted(x.tolist()) for x in np.split(order, first[1:])]
+    assert sorted(groups) == [[0, 4], [1, 3], [2]]
+
+
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
