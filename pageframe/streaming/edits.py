@@ -12,7 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pageframe.operators.edits import COALESCE_MS, last_write_wins
 
 _BURST = "doc string, first_seq bigint, last_seq bigint, key string, calls bigint"
-_STATE = "open boolean, key string, first_seq bigint, last_seq bigint, last_ms bigint, calls bigint"
+_STATE = (
+    "open boolean, key string, first_seq bigint, last_seq bigint, last_ms bigint, calls bigint, "
+    "stamps array<bigint>, seqs array<bigint>, names array<string>"
+)
 
 
 def stream_bursts(events: DataFrame, gap: str = "500 milliseconds", delay: str = "1 minute") -> DataFrame:
@@ -24,35 +27,48 @@ def stream_bursts(events: DataFrame, gap: str = "500 milliseconds", delay: str =
 def stream_coalesce(events: DataFrame, gap_ms: int = COALESCE_MS, delay: str = "1 minute") -> DataFrame:
     """Exact history entries on a stream of (doc, seq, ts, key): a burst comes out once it can grow no more.
 
-    State is one open burst per document. It closes when another key arrives,
-    when the gap passes, or when the watermark has moved a gap beyond it. Events
-    later than the watermark are not part of any burst.
+    Events wait in the state of their document until the watermark has passed them, and only then are they taken, in the
+    order of (ts, seq). So the entries are the same however the stream is cut into micro-batches, as long as no event is
+    later than `delay`; those that are count as dropped rows in the progress of the query (`run_available` adds them up).
+    A burst comes out when an event of another key or beyond the gap is taken, or when the watermark is a gap beyond it.
+    A document's state is its open burst and the events of the last `delay`.
     """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        doc, out = key[0], []
-        current = list(state.get) if state.exists else [False, None, 0, 0, 0, 0]
+        doc, out, now = key[0], [], state.getCurrentWatermarkMs()
+        current, waiting = [False, None, 0, 0, 0, 0], []
+        if state.exists:
+            *current, stamps, seqs, names = state.get
+            waiting = list(zip(stamps, seqs, names))
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += [(int(m), int(s), None if pd.isna(k) else k) for m, s, k in zip(rows["ms"], rows["seq"], rows["key"])]
+        waiting.sort(key=lambda e: e[:2])
 
         def close() -> None:
             if current[0]:
                 out.append((doc, current[2], current[3], current[1], current[5]))
             current[0] = False
 
-        if state.hasTimedOut:
+        taken = 0
+        for ms, seq, name in waiting:
+            if ms >= now:
+                break
+            taken += 1
+            if current[0] and name is not None and current[1] == name and ms - current[4] < gap_ms:
+                current[3], current[4], current[5] = seq, ms, current[5] + 1
+            else:
+                close()
+                current[:] = [True, name, seq, seq, ms, 1]
+        waiting = waiting[taken:]
+        if current[0] and now >= current[4] + gap_ms:
             close()
+        if waiting or current[0]:
+            state.update((*current, *([e[i] for e in waiting] for i in range(3))))
+            due = min([e[0] for e in waiting[:1]] + [current[4] + gap_ms] * current[0])
+            state.setTimeoutTimestamp(max(due, now + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            for seq, ms, name in zip(rows["seq"], rows["ms"], rows["key"]):
-                name = None if pd.isna(name) else name
-                same = current[0] and name is not None and current[1] == name and ms - current[4] < gap_ms
-                if same:
-                    current[3], current[4], current[5] = int(seq), int(ms), current[5] + 1
-                else:
-                    close()
-                    current[:] = [True, name, int(seq), int(seq), int(ms), 1]
-            state.update(tuple(current))
-            state.setTimeoutTimestamp(max(current[4] + gap_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["doc", "first_seq", "last_seq", "key", "calls"])
 
     timed = events.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
@@ -74,8 +90,11 @@ def stream_dirty_pages(events: DataFrame, every: str = "150 milliseconds", delay
     return marked.groupBy(F.window("ts", every), "source_key", "page_index").agg(F.max("seq").alias("generation"), F.count("*").alias("touches"))
 
 
-def run_available(stream: DataFrame, path: str, mode: str) -> None:
-    """Run a stream over what is there; each micro-batch replaces its own folder, so a replay writes it once."""
+def run_available(stream: DataFrame, path: str, mode: str) -> int:
+    """Run a stream over what is there and return how many rows came too late for the watermark.
+
+    Each micro-batch replaces its own folder, so a replay writes it once.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
@@ -85,3 +104,4 @@ def run_available(stream: DataFrame, path: str, mode: str) -> None:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)

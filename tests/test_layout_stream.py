@@ -1,7 +1,10 @@
 """Tokens, slot patches, streams and the registry."""
 
+import time
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from pageframe.operators import edits as ed
 from pageframe.plans import ORACLES, QUERIES
 from pageframe.sources import layout
@@ -47,18 +50,36 @@ def test_undo_redo(spark):
     assert [r.state for r in got] == [1, 2, 1, 0, 0, 1, 7, 7]
 
 
-def test_stream_bursts_match_batch(spark, tmp_path):
+def _bursts(spark, log, folder, parts, delay):
+    """Entries of a stream that reads the rows in `parts` files, one a micro-batch, and how many rows came too late."""
+    for part in range(parts):
+        log.where(F.col("part") % parts == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.01)
+    stream = spark.readStream.schema(log.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    late = st.run_available(st.stream_coalesce(stream, delay=delay), f"{folder}/job", "append")
+    return sorted(map(tuple, spark.read.parquet(f"{folder}/job/out").drop("batch").collect()), key=str), late
+
+
+def test_stream_bursts_do_not_depend_on_micro_batches(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    stamps = sorted(start + timedelta(milliseconds=130 * i + (900 if i % 7 == 0 else 0)) for i in range(60))
+    rows = [(f"d{i % 2}", i, ts, "ab"[(i // 4) % 2] if i % 11 else None, i // 6 + (i * 5) % 3) for i, ts in enumerate(stamps)]
+    rows += [("z", 100, start + timedelta(days=1), "a", 10**6)]
+    log = spark.createDataFrame(rows, "doc string, seq long, ts timestamp, key string, part int")
+    want = sorted((r.doc, r.first_seq, r.last_seq, r.key, r.calls) for r in ed.coalesce_history(log).where("doc <> 'z'").collect())
+    want = sorted(want, key=str)
+    ranked = log.withColumn("part", F.when(F.col("doc") == "z", 8).otherwise(F.least("part", F.lit(11)) % 8))
+    for name, parts in (("one", 1), ("nine", 9)):
+        # rows of neighbouring files overlap in time by less than the delay; the last file closes everything
+        assert _bursts(spark, ranked, str(tmp_path / name), parts, "30 seconds") == (want, 0)
+
+
+def test_late_events_are_counted_and_join_no_burst(spark, tmp_path):
     start = datetime(2024, 1, 1)
-    rows = [(f"d{i % 2}", i, start + timedelta(milliseconds=130 * i + (900 if i % 7 == 0 else 0)), "ab"[(i // 4) % 2]) for i in range(60)]
-    log = spark.createDataFrame(rows, "doc string, seq long, ts timestamp, key string")
-    log.where("seq < 30").coalesce(1).write.parquet(str(tmp_path / "in"))
-    log.where("seq >= 30").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    st.run_available(st.stream_coalesce(stream, delay="1 hour"), str(tmp_path / "job"), "append")
-    got = {(r.doc, r.first_seq): r.calls for r in spark.read.parquet(str(tmp_path / "job" / "out")).collect()}
-    batch = {(r.doc, r.first_seq): r.calls for r in ed.coalesce_history(log).collect()}
-    last = {d: max(k[1] for k in batch if k[0] == d) for d in ("d0", "d1")}
-    assert got == {k: v for k, v in batch.items() if k[1] != last[k[0]]}
+    rows = [("d", 1, start, "a", 0), ("z", 2, start + timedelta(hours=1), "a", 1), ("z", 4, start + timedelta(hours=2), "a", 2), ("d", 3, start + timedelta(milliseconds=100), "a", 3)]
+    log = spark.createDataFrame(rows, "doc string, seq long, ts timestamp, key string, part int")
+    got, late = _bursts(spark, log, str(tmp_path), 4, "1 second")
+    assert got == [("d", 1, 1, "a", 1), ("z", 2, 2, "a", 1)] and late == 1
 
 
 def test_registry():
