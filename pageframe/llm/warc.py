@@ -238,25 +238,43 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     return spark.read.format("warc").option("payloads", str(payloads).lower()).load(folder)
 
 
-def archived(pages: DataFrame, least_bytes: int = 0, compress: bool = True) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): write the archives, read their headers back.
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-    Nulls, repeated rows and rows without page_id are treated as in `write_archives`. Very long payloads are whole.
-    Other columns are ignored; an empty table gives no archive and no row.
+
+def base32_sha1(data: Column) -> Column:
+    """SHA-1 of bytes in upper-case base32: five hex digits are four letters."""
+    digits = F.sha1(data)
+    group = lambda i: F.conv(F.substring(digits, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
+    power = lambda i: F.element_at(F.array(*[F.lit(1 << 5 * k) for k in (3, 2, 1, 0)]), i % 4 + 1)
+    letter = lambda i: F.substring(F.lit(BASE32), F.floor(group(i) / power(i)).cast("int").bitwiseAND(31) + 1, F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+
+
+def read_back(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the archives in `files`.
+
+    Responses are read with their payloads, of which length and digest are taken; of revisits, which hold none, the headers
+    say both. Each read pushes its record type down, so it skips the other's records.
     """
-    spark = pages.sparkSession
-    folder = fresh_path(spark, "warc")
-    files = write_archives(pages, folder, least_bytes, compress).select("file")
 
     def page(column: str) -> Column:
         return F.expr(f"try_cast(regexp_extract({column}, 'urn:x-page:(-?[0-9]+)>', 1) AS bigint)")
 
-    # archives of task attempts that did not count are in the folder too, but not in the list
-    read = read_archives(spark, folder, payloads=False).join(files, "file", "left_semi")
-    return read.select(
-        page("record_id").alias("page_id"),
-        F.col("http_length").alias("payload_bytes"),
-        F.expr("substring(payload_digest, 6)").alias("payload_digest"),
-        "record_type",
-        page("refers_to").alias("refers_to"),
-    )
+    def of(kind: str, payloads: bool, size: Column, digest: Column) -> DataFrame:
+        # archives of task attempts that did not count are in the folder too, but not in the list
+        found = read_archives(spark, folder, payloads).where(F.col("record_type") == kind).join(files, "file", "left_semi")
+        return found.select(page("record_id").alias("page_id"), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+    responses = of("response", True, F.length("payload"), base32_sha1(F.col("payload")))
+    return responses.unionByName(of("revisit", False, F.col("http_length"), F.expr("substring(payload_digest, 6)")))
+
+
+def archived(pages: DataFrame, least_bytes: int = 0, compress: bool = True) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): write the archives and read them back.
+
+    Nulls, repeated rows and rows without page_id are treated as in `write_archives`. Very long payloads are whole.
+    Other columns are ignored; an empty table gives no archive and no row.
+    """
+    folder = fresh_path(pages.sparkSession, "warc")
+    files = write_archives(pages, folder, least_bytes, compress).select("file")
+    return read_back(pages.sparkSession, folder, files)

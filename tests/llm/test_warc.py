@@ -48,6 +48,25 @@ def test_payloads_and_pushed_filters(spark):
         assert "record_type" in plan
 
 
+def test_digests_are_those_of_the_stored_payloads(spark):
+    pages = spark.createDataFrame([(1, "u", "good page"), (2, "u", "good page"), (3, "u", "other")], "page_id long, url string, html string").coalesce(1)
+    folder = fresh_path(spark, "warc")
+    files = warc.write_archives(pages, folder, compress=False)
+    before = {r.page_id: r for r in warc.read_back(spark, folder, files.select("file")).collect()}
+    system, root = warc.located(folder)
+    for row in files.collect():
+        with system.open_input_file(f"{root}/{row.file}") as stream:
+            data = stream.read()
+        with system.open_output_stream(f"{root}/{row.file}") as stream:
+            stream.write(data.replace(b"good page", b"goad page"))
+    found = warc.read_back(spark, folder, files.select("file"))
+    after = {r.page_id: r for r in found.collect()}
+    assert after[1].payload_digest == base64.b32encode(hashlib.sha1(b"goad page").digest()).decode() != before[1].payload_digest
+    assert after[2].payload_digest == before[1].payload_digest and after[3] == before[3]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "= response)" not in plan and "= revisit)" not in plan  # pushed into the scans, not filtered after them
+
+
 def test_unwanted_records_are_not_taken():
     import io
 
