@@ -261,7 +261,7 @@ def _common_shingles(source: DataFrame, width: int, every: int = 16, least: int
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
-    """Links (a, b) of the pairs (x, y) of sets whose exact similarity is num / den or more. Sets are made again, of paired texts only."""
+    """Links (a, b) of the pairs (x, y) of sets whose exact similarity is num / den or more, all by `at`. Sets are made again, of paired texts only."""
     pairs = written(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("x").alias("at")).unionByName(pairs.select(F.col("y").alias("at"))).distinct()
     wanted = written(nodes.join(ends, "at", "left_semi").select("at", "node", "digest"), "wanted")
@@ -275,9 +275,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int,
     texts = source.join(wanted, source["doc_id"] == wanted["node"]).select("at", "node", "digest", "_text")
     sets = written(over_batches(texts, make, "at long, node long, members binary"), "sets")
     slots = pairs.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_slots"))
-    heads = slots.join(sets, slots["x"] == sets["at"]).select("x", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1)).alias("slot"), F.lit(0).alias("kind"), "node", "members")
+    heads = slots.join(sets, slots["x"] == sets["at"]).select("x", F.explode(F.sequence(F.lit(0), F.col("n_slots") - 1)).alias("slot"), F.lit(0).alias("kind"), "at", "members")
     placed = pairs.join(slots, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("n_slots")).cast("int").alias("slot"))
-    tails = placed.join(sets, placed["y"] == sets["at"]).select("x", "slot", F.lit(1).alias("kind"), "node", "members")
+    tails = placed.join(sets, placed["y"] == sets["at"]).select("x", "slot", F.lit(1).alias("kind"), "at", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, name = np.empty(0, np.uint64), 0
@@ -297,19 +297,26 @@ def _verified(pairs: DataFrame, nodes: DataFrame, source: DataFrame, width: int,
     return written(met.mapInArrow(run, LINK), "verified")
 
 
+def text_tag(text: str = "text") -> Column:
+    """A number by which the texts of one doc_id are told apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
-    """(doc_id, component_id) of near copies: texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more, and what they link.
+    """(doc_id, tag, class, component_id) of near copies: texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more, and what they link.
 
     Of two such sets, the first n - ceil(similarity * n) + 1 shingles of each, in any one order of all shingles, have one
     in common. So texts meet in these prefixes, in an order that puts common shingles last; pairs whose sizes or places
     rule the similarity out are dropped, and all others are compared by their whole sets. Equal sets are one row before
     any join. First every set is compared with the smallest of each group it is in; then, in groups that this leaves in
     several classes, all pairs of unlike classes are, large groups block by block. So no pair is missed, and a group of
-    copies takes one comparison a text. Nulls, empty texts and repeated rows are treated as in `near_duplicate_classes`.
+    copies takes one comparison a text. `class` names a class, `component_id` is its smallest doc_id, and `tag` tells apart the
+    texts of one doc_id: such rows are in one class only if their texts are. A null or empty text has an empty set. A text
+    that only rows without doc_id have is a class of its own. Other columns are ignored; an empty table stays empty.
     """
     part = Fraction(str(similarity))
     num, den = part.numerator, part.denominator
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"), text_tag(text).alias("tag"))
     common = _common_shingles(source, width)
     by_value = np.argsort(common)
     ranked = common[by_value]
@@ -326,10 +333,10 @@ def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, simil
         firsts = [prefix(m).view(np.int64) for m, _ in made]
         cuts = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
         lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
-        columns = [batch.column(0), pa.array([d for _, d in made], pa.binary()), pa.array([len(m) for m, _ in made], pa.int64()), lists]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "prefix"])
+        columns = [batch.column(0), batch.column(2), pa.array([d for _, d in made], pa.binary()), pa.array([len(m) for m, _ in made], pa.int64()), lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "digest", "n", "prefix"])
 
-    marked = written(over_batches(source, run, "doc_id long, digest binary, n long, prefix array<long>"), "prefixes")
+    marked = written(over_batches(source, run, "doc_id long, tag long, digest binary, n long, prefix array<long>"), "prefixes")
     nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     nodes = written(nodes.withColumn("at", F.monotonically_increasing_id()), "nodes")
     rows = nodes.where("node IS NOT NULL").select("at", "node", "n", F.posexplode("prefix").alias("pos", "part"))
@@ -343,7 +350,7 @@ def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, simil
 
     stars = met.where("at <> first.at").where(may_link("n", "pos", "first.n", "first.pos")).select(F.col("first.at").alias("x"), F.col("at").alias("y"))
     linked = connected_components(_verified(stars, nodes, source, width, num, den, block))
-    labelled = met.select("part", "at", "node", "n", "pos").join(linked, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = met.select("part", "at", "n", "pos").join(linked.withColumnRenamed("node", "at"), "at", "left").withColumn("label", F.coalesce("component", "at")).drop("component")
     mixed = labelled.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
     left = written(labelled.join(mixed.where("low <> high").select("part", "n_blocks"), "part"), "mixed")
     own = left.withColumn("slot", F.pmod(F.xxhash64("at"), F.col("n_blocks")).cast("int")).alias("l")
@@ -351,5 +358,6 @@ def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, simil
     across = own.join(other, F.expr("l.part = r.part AND l.slot = r.slot AND l.at < r.at AND l.label <> r.label") & may_link("l.n", "l.pos", "r.n", "r.pos"))
     rest = _verified(across.select(F.col("l.at").alias("x"), F.col("r.at").alias("y")), nodes, source, width, num, den, block)
     centres = connected_components(rest.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    classes = nodes.join(centres, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(classes, "digest").select("doc_id", "component_id")
+    classes = written(nodes.join(centres.withColumnRenamed("node", "at"), "at", "left").select("digest", "node", F.coalesce("component", "at").alias("class")), "classes")
+    least = classes.groupBy("class").agg(F.min("node").alias("component_id"))
+    return marked.join(classes.join(least, "class").select("digest", "class", "component_id"), "digest").select("doc_id", "tag", "class", "component_id")
