@@ -194,11 +194,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", most_docs: int = 3000, most_lines: int = 400) -> Model:
-    """Fit on a bounded sample: the `most_docs` labelled, not held-out ids that come first by hash, texts of up to `most_lines` lines."""
+    """Fit on a bounded sample: the `most_docs` labelled, not held-out ids that come first by hash, texts of up to `most_lines` lines.
+
+    Of several texts with one id the one with the smallest hash is taken, so at most `most_docs` texts reach the driver.
+    """
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("_label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    chosen = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(sample), "doc_id")
+    found = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(sample), "doc_id")
+    tag = F.xxhash64(F.coalesce("_text", F.lit("")))
+    chosen = found.groupBy("doc_id", "_label").agg(F.min_by(F.struct("_text"), tag)["_text"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -210,7 +215,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", most_doc
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "features"])
 
     kept = chosen.select(F.col("doc_id").cast("long"), "_text", "_label").mapInArrow(run, "doc_id long, label int, features binary")
-    rows = sorted((r.doc_id, r.label, bytes(r.features)) for r in kept.collect())  # at most `most_docs` documents
+    rows = sorted((r.doc_id, r.label, bytes(r.features)) for r in kept.collect())  # at most `most_docs` rows
     return fit([np.frombuffer(f, "<f4").reshape(-1, 3 * OWN).astype(float) for _, _, f in rows], np.array([label for _, label, _ in rows]))
 
 

@@ -64,3 +64,17 @@ def test_empty_tables(spark):
     assert crf.scored(docs, crf.fit_quality(docs, labels)).collect() == []
     one = spark.createDataFrame([(1, "a", 0.0, "")], SCHEMA)
     assert crf.scored(one, crf.fit_quality(one, labels)).first().score == 0.5
+
+
+def test_repeated_ids_stay_within_the_bound(spark, monkeypatch):
+    taken = []
+    fit = crf.fit
+    monkeypatch.setattr(crf, "fit", lambda features, labels: taken.append(len(labels)) or fit(features, labels))
+    rows = documents()
+    rows += [(i, f"{t}\nAnother line {n}.") for i, t in rows for n in range(3)]
+    docs = spark.createDataFrame([(r[0], r[1], 0.0, "x") for r in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)], "doc_id long, quality int")
+    crf.fit_quality(docs, labels, most_docs=5)
+    assert taken[0] <= 5
+    crf.fit_quality(docs, labels)
+    assert 5 < taken[1] <= 400
