@@ -12,7 +12,6 @@ pieces of one length; a piece finds its slot by its rank among equals.
 from __future__ import annotations
 
 import zlib
-from collections import ChainMap
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -31,13 +30,37 @@ WORD_END = "</w>"
 _encoders: dict[str, "WordIds"] = {}
 
 
+class Recent(dict):
+    """A cache of two generations of at most `most` entries each; what is asked for again moves to the young one."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def recall(self, wanted: set) -> set:
+        """Take over what the old generation knows; those of `wanted` that neither knows."""
+        missing = wanted.difference(self)
+        known = missing & self.old.keys()
+        self.update((w, self.old[w]) for w in known)
+        return missing - known
+
+    def learn(self, found: dict, wanted: set) -> None:
+        """Add `found`; if that is too much, the young generation becomes the old one, but for what `wanted` needs."""
+        if len(self) + len(found) > self.most:
+            kept = {w: self[w] for w in wanted if w in self}
+            self.old = dict(self)
+            self.clear()
+            self.update(kept)
+        self.update(found)
+
+
 class WordIds:
     """Ids of white-space words, four bytes each. The tokenizer drops white space, so words are independent.
 
     A batch looks up its distinct words at once. A Latin word in any case, with one mark at its end, is found by its
     lower-case letters, as the tokenizer lower-cases and splits letters from marks; such a core is one piece to the
-    tokenizer, so many new ones are encoded as one text and parted at the tokens that end a word. At most `CACHED`
-    words and as many cores stay from batch to batch; those beyond serve their batch only.
+    tokenizer, so many new ones are encoded as one text and parted at the tokens that end a word. About `CACHED`
+    words and as many cores stay from batch to batch, those used last.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,8 +70,8 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.words: Recent = Recent(CACHED // 2)
+        self.cores: Recent = Recent(CACHED // 2)
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -70,29 +93,21 @@ class WordIds:
     def __call__(self, wanted: set[bytes]) -> Callable[[bytes], bytes]:
         """A lookup that knows the words `wanted`."""
         latin, others = [], []
-        for word in wanted.difference(self.words):
+        for word in self.words.recall(wanted):
             text = word.decode("utf-8", "replace")
             body, mark = (text[:-1], text[-1]) if text[-1] in ".,;:!?" else (text, "")
             if body.isalpha() and max(body) <= "\xff":
                 latin.append((word, body.lower(), mark))
             else:
                 others.append((word, text))
-        new = list({core for _, core, _ in latin}.difference(self.cores))
-        cores = self.cores
-        if new:
-            fresh = dict(zip(new, self.encoded_cores(new)))
-            if len(cores) + len(fresh) <= CACHED:
-                cores.update(fresh)
-            else:
-                cores = ChainMap(fresh, cores)
+        cores = {core for _, core, _ in latin}
+        if new := list(self.cores.recall(cores)):
+            self.cores.learn(dict(zip(new, self.encoded_cores(new))), cores)
         marks = dict(zip(".,;:!?", self.encoded([*".,;:!?"]))) | {"": b""} if latin else {}
-        found = {word: cores[core] + marks[mark] for word, core, mark in latin}
+        found = {word: self.cores[core] + marks[mark] for word, core, mark in latin}
         found.update(zip([w for w, _ in others], self.encoded([t for _, t in others])))
-        if len(self.words) + len(found) <= CACHED:
-            self.words.update(found)
-            return self.words.__getitem__
-        found.update((word, self.words[word]) for word in wanted & self.words.keys())
-        return found.__getitem__
+        self.words.learn(found, wanted)
+        return self.words.__getitem__
 
 
 def encoder(path: str) -> WordIds:
