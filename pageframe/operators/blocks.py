@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.functions.script import has_list_marker, is_rtl_block_text
+from pageframe.functions.text import indent_lines
 from pageframe.operators.scan import islands, with_running
 
 PAGE = ["source_key", "page_index"]
@@ -123,9 +124,14 @@ def justified_flags(lines: Column) -> Column:
 
 
 def make_blocks(grouped: DataFrame) -> DataFrame:
-    """Block rows from runs with block_head: union box, ids, decorations, layout, alignment, step."""
+    """Block rows from runs with block_head: union box, text, ids, decorations, layouts, style, alignment, step.
+
+    The text of a paragraph is its lines joined by newlines: later lines of a left-to-right one are padded by their
+    indent, justified ones of a right-to-left one are spread. A layout is the place of a line inside the box. Style
+    (font_family, bold, italic, size) is that of the first line.
+    """
     line = F.struct("run_no", "run_id", "text", "left", "width", "height", "top", "box_height", "baseline_y", "op_indices",
-                    "underline", "strikethrough")
+                    "underline", "strikethrough", "font_family", "bold", "italic")
     blocks = grouped.groupBy(*PAGE, "block_head").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     blocks = blocks.withColumn("justify", justified_flags(F.col("lines")))
     pick = lambda name: F.transform("lines", lambda x: x[name])
@@ -133,6 +139,9 @@ def make_blocks(grouped: DataFrame) -> DataFrame:
     bottom = F.array_max(F.transform("lines", lambda x: x["top"] + x["box_height"]))
     left, top = F.array_min(pick("left")), F.array_min(pick("top"))
     many = F.size("lines") > 1
+    first = F.get("lines", F.lit(0))
+    placed = F.transform("lines", lambda x, i: F.struct(x["text"], x["left"], x["width"], x["height"], F.get("justify", i).alias("justify")))
+    layout = lambda x, i: F.struct((x["left"] - left).alias("left"), (x["top"] - top).alias("top"), x["width"].alias("width"), F.get("justify", i).alias("justify"))
     number = F.col("block_no") - 1
     blocks = with_running(blocks, PAGE, "block_head", {"block_no": ("sum", F.lit(1))})
     return blocks.select(
@@ -145,5 +154,7 @@ def make_blocks(grouped: DataFrame) -> DataFrame:
         F.forall(pick("strikethrough"), lambda u: F.coalesce(u, F.lit(False))).alias("strikethrough"),
         F.array_sort(F.array_distinct(F.flatten(pick("op_indices")))).alias("op_indices"),
         F.when(F.exists("justify", lambda j: j), "justify").otherwise("start").alias("text_align"),
-        median_step(pick("baseline_y")).alias("line_step"), "lines", "justify",
+        median_step(pick("baseline_y")).alias("line_step"), F.when(many, indent_lines(placed)).otherwise(first["text"]).alias("text"),
+        F.when(many, F.transform("lines", layout)).alias("line_layouts"), first["font_family"].alias("font_family"), first["bold"].alias("bold"),
+        first["italic"].alias("italic"), first["height"].alias("size"), "lines", "justify",
     )

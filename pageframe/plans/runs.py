@@ -140,14 +140,19 @@ def win_5(spark, sf):
     b AS (SELECT r.source_key, r.page_index, r.head, n.* EXCLUDE (source_key, page_index) FROM r JOIN n ON r.source_key = n.source_key AND r.page_index = n.page_index AND r.run_no = n.run_no),
     a AS (SELECT source_key, page_index, head, count(*) AS k, min("left") AS "left", max("left" + width) AS "right", min(top) AS top, max(top + box_height) AS bottom,
           arg_min(run_id, run_no) AS first_id, bool_and(underline) AS underline, bool_and(strikethrough) AS strikethrough, arg_min(baseline_y, run_no) AS baseline_y,
-          string_agg(run_id, ',' ORDER BY run_no) AS run_ids FROM b GROUP BY ALL)
+          string_agg(run_id, ',' ORDER BY run_no) AS run_ids, arg_min("left", run_no) AS first_left, arg_min(font_family, run_no) AS font_family, arg_min(bold, run_no) AS bold FROM b GROUP BY ALL),
+    t AS (SELECT b.source_key, b.page_index, b.head, string_agg(concat(repeat(' ', CAST(greatest(0, floor((b."left" - first_left) / (height * 0.25e0) + 0.5e0)) AS INT)), text), chr(10) ORDER BY run_no) AS text,
+          string_agg(concat(CAST(b."left" - a."left" AS BIGINT), ':', CAST(b.top - a.top AS BIGINT), ':', CAST(b.width AS BIGINT)), ',' ORDER BY run_no) AS layouts FROM b JOIN a USING (source_key, page_index, head) GROUP BY ALL)
     SELECT source_key, page_index, CASE WHEN k > 1 THEN concat('p', page_index + 1, '-b', row_number() OVER (PARTITION BY source_key, page_index ORDER BY head) - 1) ELSE first_id END AS block_id,
-           k > 1 AS is_paragraph, "left", top, CASE WHEN k > 1 THEN greatest("right" - "left", 4) ELSE "right" - "left" END AS width, bottom - top AS height, underline, strikethrough, baseline_y, run_ids
-    FROM a"""))
+           k > 1 AS is_paragraph, "left", top, CASE WHEN k > 1 THEN greatest("right" - "left", 4) ELSE "right" - "left" END AS width, bottom - top AS height, underline, strikethrough, baseline_y, run_ids,
+           text, CASE WHEN k > 1 THEN layouts END AS layouts, font_family, bold
+    FROM a JOIN t USING (source_key, page_index, head)"""))
 def agg_2(spark, sf):
     made = bl.make_blocks(bl.group_paragraphs(_para(spark, sf)))
+    spots = F.transform("line_layouts", lambda x: F.concat_ws(":", *[x[c].cast("bigint").cast("string") for c in ("left", "top", "width")]))
+    layouts = F.when(F.col("line_layouts").isNotNull(), F.array_join(spots, ","))
     return made.select("source_key", "page_index", "block_id", "is_paragraph", "left", "top", "width", "height", "underline",
-                       "strikethrough", "baseline_y", F.array_join("run_ids", ",").alias("run_ids"))
+                       "strikethrough", "baseline_y", F.array_join("run_ids", ",").alias("run_ids"), "text", layouts.alias("layouts"), "font_family", "bold")
 
 
 @plan("agg_3", duck("""

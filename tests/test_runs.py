@@ -98,6 +98,22 @@ def test_paragraph_goldens(spark):
     assert bl.group_paragraphs(runs(spark, cells)).select("block_head").distinct().count() == 4
 
 
+def test_block_text_layouts_and_style(spark):
+    both = bl.make_blocks(bl.group_paragraphs(runs(spark, [("first wrapped line", 80, 120, 180), ("second wrapped line", 82, 148, 180)]))).first()
+    assert both.text == "first wrapped line\nsecond wrapped line"
+    assert [tuple(x) for x in both.line_layouts] == [(0.0, 0.0, 180.0, False), (2.0, 28.0, 180.0, False)]
+    assert (both.font_family, both.bold, both.italic, both.size) == ("Faruma", False, False, 20.0)
+    marked = bl.make_blocks(bl.group_paragraphs(runs(spark, [("6.2 first list line", 80, 120, 180), ("continuation line", 128, 148, 180)]))).first()
+    assert marked.text.split("\n")[1] == " " * 10 + "continuation line"
+    alone = bl.make_blocks(bl.group_paragraphs(runs(spark, [("only", 80, 120, 180)]))).first()
+    assert alone.text == "only" and alone.line_layouts is None and not alone.is_paragraph
+    rtl = [("ކއ ރތ", 80, 120, 500), ("ކއ ރތ", 80, 148, 500), ("ކއ", 500, 176, 80)]
+    block = bl.make_blocks(bl.group_paragraphs(runs(spark, rtl))).first()
+    lines = block.text.split("\n")
+    assert len(lines[0]) > len(rtl[0][0]) and lines[0].split() == rtl[0][0].split() and lines[2] == rtl[2][0]
+    assert [x.justify for x in block.line_layouts] == [True, True, False]
+
+
 def test_pair_decorations_in_turn(spark):
     from pageframe.functions.geometry import rect
 
