@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.llm.components import LINK, connected_components
+from pageframe.llm.phrases import bit_array, has
 from pageframe.llm.store import over_batches, sliced, written
 
 SEED = 42
@@ -302,13 +303,14 @@ def text_tag(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
+def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8, block: int = 1024, bits: int = 1 << 26) -> DataFrame:
     """(doc_id, tag, class, component_id) of near copies: texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more, and what they link.
 
     Of two such sets, the first n - ceil(similarity * n) + 1 shingles of each, in any one order of all shingles, have one
     in common. So texts meet in these prefixes, in an order that puts common shingles last; pairs whose sizes or places
     rule the similarity out are dropped, and all others are compared by their whole sets. Equal sets are one row before
-    any join. First every set is compared with the smallest of each group it is in; then, in groups that this leaves in
+    any join, and a shingle that one prefix alone has leaves before any row is made of it, by an array of `bits` bits of
+    those seen twice (a stray bit keeps a shingle too many). First every set is compared with the smallest of each group it is in; then, in groups that this leaves in
     several classes, all pairs of unlike classes are, large groups block by block. So no pair is missed, and a group of
     copies takes one comparison a text. `class` names a class, `component_id` is its smallest doc_id, and `tag` tells apart the
     texts of one doc_id: such rows are in one class only if their texts are. A null or empty text has an empty set. A text
@@ -339,7 +341,22 @@ def near_copy_classes(docs: DataFrame, text: str = "text", width: int = 5, simil
     marked = written(over_batches(source, run, "doc_id long, tag long, digest binary, n long, prefix array<long>"), "prefixes")
     nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     nodes = written(nodes.withColumn("at", F.monotonically_increasing_id()), "nodes")
-    rows = nodes.where("node IS NOT NULL").select("at", "node", "n", F.posexplode("prefix").alias("pos", "part"))
+    named = nodes.where("node IS NOT NULL").select("at", "node", "n", "prefix")
+    twice = named.select(F.explode("prefix").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    sent = docs.sparkSession.sparkContext.broadcast(bit_array(twice, bits))
+
+    def met_again(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(3)
+        offsets = lists.offsets.to_numpy()
+        part = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        keep = np.flatnonzero(has(sent.value, part.view(np.uint64)))
+        row = np.repeat(np.arange(len(sizes)), sizes)[keep]
+        pos = keep - (offsets[:-1] - offsets[0])[row]
+        columns = [batch.column(i).take(pa.array(row)) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(pos.astype(np.int32)), pa.array(part[keep])], ["at", "node", "n", "pos", "part"])
+
+    rows = written(over_batches(named, met_again, "at long, node long, n long, pos int, part long"), "rows")
     least = F.min(F.struct("n", "at", "node", "pos")).alias("first")
     shared = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), least).where("n_rows > 1").select("part", "first")
     met = written(rows.join(written(shared, "shared"), "part"), "met")
