@@ -38,11 +38,12 @@ def _report(rows):
 
 
 @plan("red_report", duck(f"""
-    WITH l AS (SELECT lang, source, line, regexp_extract_all(line, '{_P}') AS spans FROM {{lines}}),
-    c AS (SELECT *, list_sum(list_transform(spans, lambda s: length(s))) AS cut FROM l)
+    WITH l AS (SELECT lang, source, line, regexp_extract_all(line, '{_P}') AS spans, string_split_regex(line, '{_P}') AS gaps FROM {{lines}}),
+    c AS (SELECT *, list_sum(list_transform(spans, lambda s: length(s))) AS cut,
+          list_aggregate(list_transform(gaps, lambda g, i: concat(g, coalesce(repeat('█', length(spans[i])), ''))), 'string_agg', '') AS redacted FROM l)
     SELECT lang, source, count(*) AS lines, count(*) FILTER (len(spans) = 0) AS untouched,
            count(*) FILTER (len(spans) > 0 AND cut < length(line)) AS rewritten, count(*) FILTER (len(spans) > 0 AND cut = length(line)) AS dropped,
-           coalesce(CAST(sum(cut) AS BIGINT), 0) AS cut_chars, CAST(0 AS BIGINT) AS leaks FROM c GROUP BY lang, source"""))
+           coalesce(CAST(sum(cut) AS BIGINT), 0) AS cut_chars, CAST(sum(len(list_filter(spans, lambda s: contains(redacted, s)))) AS BIGINT) AS leaks FROM c GROUP BY lang, source"""))
 def red_report(spark, sf):
     """Lines by plan, characters cut and leaks per language and source; one pass, one small shuffle."""
     done = _report(bridge.lines(spark, sf))
