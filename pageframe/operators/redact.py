@@ -188,13 +188,14 @@ def inline_image_ops(ops: DataFrame, rects: DataFrame) -> DataFrame:
 def _black_out(samples: bytes, width: int, height: int, components: int, windows) -> bytes | None:
     if samples is None or components not in (1, 3, 4) or len(samples) < width * height * components:
         return None
-    if windows is None or all(w is None for w in windows):
+    if windows is None or not len(windows):
         return None
     pixels = np.frombuffer(samples, dtype=np.uint8).copy()
     view = pixels[: width * height * components].reshape(height, width, components)
     fill = np.array([0, 0, 0, 255] if components == 4 else [0] * components, dtype=np.uint8)
-    for w in (w for w in windows if w is not None):
-        view[w["y0"] : w["y1"], w["x0"] : w["x1"]] = fill
+    for w in windows:
+        x0, y0, x1, y1 = (int(w[n]) for n in ("x0", "y0", "x1", "y1"))
+        view[y0:y1, x0:x1] = fill
     return pixels.tobytes()
 
 
@@ -207,7 +208,8 @@ def black_out(samples: Column, width: Column, height: Column, components: Column
     def run(s: pd.Series, w: pd.Series, h: pd.Series, c: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_black_out(*row) for row in zip(s, w, h, c, b)], dtype=object)
 
-    return F.pandas_udf(run, T.BinaryType())(samples, width, height, components, windows)
+    some = F.filter(windows, lambda w: w.isNotNull())
+    return F.pandas_udf(run, T.BinaryType())(samples, width, height, components, some)
 
 
 def redact_shapes(shapes: DataFrame, rects: DataFrame, rect_col: str = "red") -> DataFrame:
