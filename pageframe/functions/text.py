@@ -174,12 +174,13 @@ def justify_rtl_line(text: Column, width: Column, height: Column) -> Column:
     return let(let(wide_trim(text), measure), spread)
 
 
-def indent_lines(lines: Column) -> Column:
+def indent_lines(lines: Column, rtl: Column | None = None) -> Column:
     """Joined text of a block.
 
     `lines` is an array of struct(text, left, width, height, justify) in order.
     Left-to-right blocks pad later lines by their start offset; right-to-left
-    blocks justify the marked lines.
+    blocks justify the marked lines. `rtl` is the direction of the block where it
+    is known; otherwise the script of its first line, which may be only digits, decides.
     """
     first = lines[0]
     padded = F.transform(
@@ -194,7 +195,8 @@ def indent_lines(lines: Column) -> Column:
             line["text"]
         ),
     )
-    return F.array_join(F.when(is_rtl_block_text(first["text"]), justified).otherwise(padded), "\n")
+    turned = is_rtl_block_text(first["text"]) if rtl is None else rtl
+    return F.array_join(F.when(turned, justified).otherwise(padded), "\n")
 
 
 def indent_lines_for_editor(lines: Column) -> Column:
