@@ -157,7 +157,8 @@ def src_10(spark, sf):
     parts = bridge.table(spark, sf, "part").select(
         (F.col("p_partkey") % 50).alias("font"), F.floor(F.col("p_partkey") / 50).alias("j"))
     lo = F.lit(16) + F.col("j") * 5
-    code = lambda v: F.concat(F.lit("<"), F.lpad(F.hex(v), 4, "0"), F.lit(">"))
+    # Four digits hold codes up to FFFF; larger ones take eight, as lpad would cut them.
+    code = lambda v: F.concat(F.lit("<"), F.lpad(F.hex(v), F.when(v > 0xFFFF, 8).otherwise(4), "0"), F.lit(">"))
     char = F.concat_ws(" ", code(lo), code(F.lit(1920) + lo % 60))
     span = F.concat_ws(" ", code(lo), code(lo + 6), code(F.lit(1700) + lo))
     arr = F.concat(code(lo), F.lit(" "), code(lo + 1), F.lit(" [<07A6> <0020>]"))

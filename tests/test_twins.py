@@ -31,3 +31,9 @@ def documents(*texts):
 def test_block_of_a_right_to_left_document_that_starts_with_digits(twins):
     found, wanted = twins("txt_23", documents=documents("abc\n 12\nx", "2024 12\nabc def\nghi", "ދިވެހި\nabc", "***\nq w"))
     assert found == wanted
+
+
+def test_cmap_codes_beyond_four_digits(twins):
+    keys = [50 * j + f for j in (0, 1, 2, 12760, 12761, 13200, 13201, 13202, 13203) for f in (0, 7)]
+    found, wanted = twins("src_10", part=([(k,) for k in keys], "p_partkey long"))
+    assert found == wanted
