@@ -82,3 +82,14 @@ def test_black_out():
     out = rd._black_out(pixels, 2, 2, 3, [{"x0": 0, "y0": 1, "x1": 1, "y1": 2}])
     assert out == pixels[:6] + b"\0\0\0" + pixels[9:]
     assert rd._black_out(pixels, 2, 2, 2, [{}]) is None
+
+
+def test_many_short_pages_take_no_call_each(spark):
+    rows = [("s", page, page * 10 + i, op, nums, None) for page in range(300) for i, (op, nums) in enumerate([("q", []), ("cm", [1.0, 0.0, 0.0, 1.0, float(page), 0.0]), ("Q", [])])]
+    df = spark.createDataFrame(rows, "source_key string, page_index int, op_index long, op string, nums array<double>, name string")
+    state = ct.op_state(df)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    moved = {r.page_index: r.ctm[4] for r in state.where("op_index % 10 = 1").collect()}
+    assert moved == {page: float(page) for page in range(300)}
+    assert {r.ctm[4] for r in state.where("op_index % 10 = 2").collect()} == {0.0}
