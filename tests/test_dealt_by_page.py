@@ -23,3 +23,8 @@ def sf(spark, tmp_path):
 @pytest.mark.parametrize("name", ["win_1", "win_2", "win_3", "agg_1"])
 def test_runs_shuffle_no_items(spark, sf, name):
     assert shuffles(spark, name, sf) == 0
+
+
+@pytest.mark.parametrize("name", ["join_2", "join_3"])
+def test_nearest_matches_shuffle_no_items(spark, sf, name):
+    assert shuffles(spark, name, sf) == 0
