@@ -25,6 +25,6 @@ def test_runs_shuffle_no_items(spark, sf, name):
     assert shuffles(spark, name, sf) == 0
 
 
-@pytest.mark.parametrize("name", ["join_2", "join_3"])
+@pytest.mark.parametrize("name", ["join_2", "join_3", "join_4", "join_5", "qa_1", "agg_12"])
 def test_nearest_matches_shuffle_no_items(spark, sf, name):
     assert shuffles(spark, name, sf) == 0
