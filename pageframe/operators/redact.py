@@ -24,12 +24,14 @@ from pageframe.functions.geometry import (
 )
 from pageframe.operators.cmap import glyph_widths
 from pageframe.operators.content import glyph_positions
-from pageframe.operators.grid import only_pages, overlap_join
+from pageframe.operators.grid import SMALL_ROWS, broadcast_if_small, only_pages, overlap_join
 from pageframe.operators.scan import islands
+from pageframe.session import cut_lineage
 
 PAGE = ["source_key", "page_index"]
 SHOW = [*PAGE, "op_index"]
 MARK = "█"
+FEW_SENTINELS = 256
 
 
 def glyph_rows(shows: DataFrame, widths: DataFrame, fonts: DataFrame) -> DataFrame:
@@ -131,20 +133,27 @@ def redact_text(rows: DataFrame, text_col: str, spans_col: str, mark: str = MARK
     return cut.withColumn("plan", plan)
 
 
-def leak_check(texts: DataFrame, text_col: str, sentinels: DataFrame, sentinel_col: str, keys: Sequence[str] = ()) -> DataFrame:
+def leak_check(
+    texts: DataFrame, text_col: str, sentinels: DataFrame, sentinel_col: str, keys: Sequence[str] = (), few: int = FEW_SENTINELS,
+) -> DataFrame:
     """(text row, sentinel) pairs still readable; must be empty before a result is written.
 
     With keys, sentinels are only looked for in rows of the same key. Without,
-    texts and sentinels meet on a leading gram of 1, 2, 4 or 8 characters, so
-    the search is an equi-join whatever the number of sentinels.
+    a few sentinels are tried on every text where it lies. More of them meet the
+    texts on a leading gram of 1, 2, 4 or 8 characters, an equi-join whatever
+    their number; only grams that some sentinel begins with are joined, and
+    lists or grams that a count shows to be small are broadcast, so texts are
+    repeated in a shuffle only where a gram was found among too many sentinels.
     """
     found = F.contains(F.col(text_col), F.col(sentinel_col))
     if keys:
         return texts.join(sentinels.select(*keys, sentinel_col).distinct(), list(keys)).where(found)
     n = F.length(sentinel_col)
     size = F.when(n >= 8, 8).when(n >= 4, 4).when(n >= 2, 2).otherwise(1)
-    lists = sentinels.where(n > 0).select(sentinel_col).distinct().withColumn("_q", size).withColumn(
-        "_gram", F.col(sentinel_col).substr(F.lit(1), F.col("_q")))
+    lists = cut_lineage(sentinels.where(n > 0).select(sentinel_col).distinct().withColumn("_q", size).withColumn(
+        "_gram", F.col(sentinel_col).substr(F.lit(1), F.col("_q"))))
+    if lists.limit(few + 1).count() <= few:
+        return texts.join(F.broadcast(lists.select(sentinel_col)), found)
     sizes = [r["_q"] for r in lists.select("_q").distinct().collect()]  # at most four values
     def grams_of(q: int) -> Column:
         letters = F.col("_letters")
@@ -153,12 +162,13 @@ def leak_check(texts: DataFrame, text_col: str, sentinels: DataFrame, sentinel_c
         return F.when(F.size(letters) >= q, rows).otherwise(F.array().cast("array<struct<_q:int,_gram:string>>"))
 
     grams = [grams_of(q) for q in sizes]
-    if not grams:
-        return texts.where(F.lit(False)).withColumn(sentinel_col, F.lit(None).cast("string"))
     lettered = texts.withColumn("_letters", F.split(text_col, ""))
     exploded = lettered.select("*", F.explode(F.flatten(F.array(*grams))).alias("_g")).select("*", "_g._q", "_g._gram")
     exploded = exploded.drop("_g", "_letters")
-    return exploded.join(lists, ["_q", "_gram"]).where(found).drop("_q", "_gram")
+    if lists.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return exploded.join(F.broadcast(lists), ["_q", "_gram"]).where(found).drop("_q", "_gram")
+    starts = broadcast_if_small(lists.select("_q", "_gram").distinct())
+    return exploded.join(starts, ["_q", "_gram"], "left_semi").join(lists, ["_q", "_gram"]).where(found).drop("_q", "_gram")
 
 
 def redact_images(images: DataFrame, rects: DataFrame, rect_col: str = "red") -> DataFrame:

@@ -68,3 +68,20 @@ def test_null_windows_are_passed_over(spark):
     df = spark.createDataFrame(rows, f"s binary, w {window}")
     got = [r.o for r in df.select(rd.black_out(F.col("s"), F.lit(2), F.lit(2), F.lit(1), F.col("w")).alias("o")).collect()]
     assert [None if o is None else bytes(o) for o in got] == [bytes([0, 9, 0, 9]), None, None, None, None]
+
+
+def exchanges(df):
+    """Exchanges of a plan other than broadcasts."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_leak_check_moves_no_text(spark):
+    texts = spark.createDataFrame([(0, "the red ring and the bolt"), (1, "ringring"), (2, ""), (3, None), (4, "\u00e9t\u00e9 \U0001f600 ring")], "n int, text string")
+    words = ["ring", "red ring", "and", "n", "\U0001f600 ri", "absent one", "", None, "ring"]
+    sentinels = spark.createDataFrame([(w,) for w in words], "s string")
+    want = sorted((r.n, w) for r in texts.collect() for w in set(filter(None, words)) if w in (r.text or ""))
+    for few in (256, 0):
+        found = rd.leak_check(texts, "text", sentinels, "s", few=few)
+        assert sorted((r.n, r.s) for r in found.collect()) == want
+        assert exchanges(found) == 0
+    assert rd.leak_check(texts, "text", sentinels.where("false"), "s").collect() == []
