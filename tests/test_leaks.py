@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pageframe.functions.geometry import rect
 from pageframe.operators import annotations as an
 from pageframe.operators import redact as rd
-from pageframe.operators.cmap import decode_glyphs
+from pageframe.operators.cmap import decode_both, decode_glyphs
 
 RAW = (
     "source_key string, page_index int, annot_index int, subtype string, nm string, rect_nums array<double>, quad_nums array<double>, ink_nums array<array<double>>, "
@@ -85,3 +85,16 @@ def test_leak_check_moves_no_text(spark):
         assert sorted((r.n, r.s) for r in found.collect()) == want
         assert exchanges(found) == 0
     assert rd.leak_check(texts, "text", sentinels.where("false"), "s").collect() == []
+
+
+def test_codes_are_decoded_in_the_row_of_their_show(spark):
+    rows = [("s", 0, 0, "F", "Identity-H", b"\xd8\x01\xd8\x01\x00A\xff\xff\xd8\x01"), ("s", 0, 1, "F", "Identity-H", b"\x00A\x00C"), ("s", 0, 2, "Z", None, b"AB"), ("s", 0, 3, "none", None, b"A"),
+            ("s", 0, 4, "none", None, b""), ("s", 0, 5, "F", "Identity-H", b"\x00A\x00"), ("s", 0, 6, "B", None, b"ABA"), ("s", 0, 7, "F", "Identity-H", None)]
+    shows = spark.createDataFrame(rows, "source_key string, page_index int, op_index int, font string, encoding string, bytes binary")
+    pairs = [("F", 0xD801, 0x1F600), ("F", 65, 97), ("F", 0xFFFF, 0xF0041), ("F", 66, None), ("F", 70000, 98), ("Z", 65, 0), ("Z", 66, 98), ("B", 65, 0xFEFF), ("B", 66, 0x10FFFF)]
+    cmap = spark.createDataFrame([("s", *p) for p in pairs], "source_key string, font string, cid int, cp int")
+    found = decode_both(shows, cmap, map_keys=["source_key", "font"])
+    assert "op_index" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+    got = {r.op_index: (r.decoded, r.lenient) for r in found.collect()}
+    same = lambda t: (t, t)
+    assert got == {0: same("\U0001f600\U0001f600a\U000f0041\U0001f600"), 1: (None, "a"), 2: same("\0b"), 3: (None, ""), 4: same(""), 5: (None, "a"), 6: same("\ufeff\U0010ffff\ufeff"), 7: same(None)}
