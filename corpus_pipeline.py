@@ -37,11 +37,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each class of near copies, of equal rows one. Rows without doc_id stay.
+    """Keep the document with the smallest doc_id of each class of near copies by SimHash, of equal rows one. Rows without doc_id stay.
 
     Texts that share a doc_id are documents of their own: unlike ones stay.
     """
-    classes = simhash.near_copy_classes(docs).where("doc_id IS NOT NULL")
+    classes = simhash.text_classes(docs).where("doc_id IS NOT NULL")
     kept = classes.groupBy("class").agg(F.min(F.struct("doc_id", "tag")).alias("first")).select("first.*")
     named = docs.withColumn("tag", simhash.text_tag()).join(kept, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"])
     return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))

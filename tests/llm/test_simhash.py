@@ -141,3 +141,31 @@ def test_near_copies_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b", "", 0), (3, "a b", "", 0), (None, "c", "", 0), (3, "q r s t u", "", 0)], SCHEMA)
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_copy_classes(docs).collect())
     assert got == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
+
+
+def test_text_classes_match_all_pairs_of_fingerprints(spark):
+    rows = near_copies()
+    prints = np.array([simhash._word_prints(t, 3, 5) for _, t in rows], np.int64).view(np.uint64)
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        apart = np.bitwise_count(prints[:i] ^ prints[i])
+        for j in np.flatnonzero((apart[:, :3].min(axis=1, initial=64) <= 4) & (apart[:, 3] <= 12)):
+            a, b = label[i], label[j]
+            label = [min(a, b) if x in (a, b) else x for x in label] if a != b else label
+    assert len(set(label)) < len(rows) - 200
+    docs = spark.createDataFrame([(i, t, "clash", 7) for i, t in rows], SCHEMA)
+    found = simhash.text_classes(docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == {rows[i][0]: rows[x][0] for i, x in enumerate(label)}
+    assert simhash.text_classes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_near_dedup_of_the_pipeline_goes_by_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+
+    called = []
+    real = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda *a, **k: called.append(a) or real(*a, **k))
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, text, "en", "s", 0), (2, text + " more", "en", "s", 0), (2, "else", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == [(1, text), (2, "else")] and called
