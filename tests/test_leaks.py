@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pageframe.functions.geometry import rect
 from pageframe.operators import annotations as an
 from pageframe.operators import redact as rd
-from pageframe.operators.cmap import decode_both, decode_glyphs
+from pageframe.operators.cmap import decode_both, decode_glyphs, font_fallback_chunks
 
 RAW = (
     "source_key string, page_index int, annot_index int, subtype string, nm string, rect_nums array<double>, quad_nums array<double>, ink_nums array<array<double>>, "
@@ -98,3 +98,19 @@ def test_codes_are_decoded_in_the_row_of_their_show(spark):
     got = {r.op_index: (r.decoded, r.lenient) for r in found.collect()}
     same = lambda t: (t, t)
     assert got == {0: same("\U0001f600\U0001f600a\U000f0041\U0001f600"), 1: (None, "a"), 2: same("\0b"), 3: (None, ""), 4: same(""), 5: (None, "a"), 6: same("\ufeff\U0010ffff\ufeff"), 7: same(None)}
+
+
+def test_fallback_chunks_are_cut_in_the_row_of_their_text(spark):
+    texts = ["ab1 \U0001f600\U0001f600c\n\nd", "", None, "abc", "--", "]^-\\a", "\u00e9a\u00e9"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for letters in ("abcd", "a\U0001f600^]-\\", ""):
+        cover = spark.createDataFrame([(c,) for c in letters], "ch string")
+        want = []
+        for k, t in enumerate(texts):
+            fonts = ["primary" if c in letters else "fallback" for c in t or ""]
+            starts = [i for i in range(len(fonts)) if i == 0 or fonts[i] != fonts[i - 1]]
+            want += [(k, n + 1, fonts[i], t[i:j]) for n, (i, j) in enumerate(zip(starts, [*starts[1:], len(fonts)]))]
+        for most in (256, -1):
+            found = font_fallback_chunks(rows, cover, ["k"], "t", most)
+            assert sorted((r.k, r.chunk, r.font, r.text) for r in found.collect()) == sorted(want)
+        assert exchanges(font_fallback_chunks(rows, cover, ["k"], "t")) == 0
