@@ -17,6 +17,13 @@ def script_level(ch: Column, rtl_line: Column) -> Column:
     return F.when(ch.rlike(f"[{RTL_SCRIPT_CLASS}]"), 1).when(rtl_line & ch.rlike("[0-9A-Za-z]"), 2).otherwise(base)
 
 
+def script_segments(text: Column, rtl_line: Column) -> Column:
+    """Maximal stretches of equal script_level of a text, as array of struct(level, text); one pass in the row."""
+    cut = lambda cls: F.regexp_extract_all(text, F.lit(f"[{cls}]+|[^{cls}]+"), 0)
+    parts = F.when(rtl_line, cut("0-9A-Za-z")).otherwise(cut(RTL_SCRIPT_CLASS))
+    return F.transform(parts, lambda part: F.struct(script_level(F.substring(part, 1, 1), rtl_line).alias("level"), part.alias("text")))
+
+
 def segment_by_level(chars: DataFrame, keys: list[str]) -> DataFrame:
     """Maximal stretches of equal level; chars carry pos, ch and level and one text is one key."""
     window = Window.partitionBy(*keys).orderBy("pos")
