@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pageframe.operators import order as od
+from pageframe.operators.cmap import glyph_widths, sized_shows
 
 
 def exchanges(df):
@@ -18,3 +19,18 @@ def test_script_segments_match_levels_letter_by_letter(spark):
     fast = rows.select("k", "r", F.posexplode(od.script_segments(F.col("t"), F.col("r"))).alias("n", "s"))
     assert sorted((x.k, x.r, x.n + 1, x.s.level, x.s.text) for x in fast.collect()) == want
     assert exchanges(fast) == 0
+
+
+def test_shows_are_measured_in_their_row(spark):
+    rows = [(0, "A", b"ab"), (1, "A", b""), (2, "C", b"\x00a\xd8\x01\xff"), (3, "X", b"ab"), (4, "none", b"a"), (5, "A", None)]
+    shows = spark.createDataFrame([("s", 0, *r) for r in rows], "source_key string, page_index int, op_index int, font string, bytes binary")
+    fonts = spark.createDataFrame(
+        [("s", "A", "TrueType", "WinAnsiEncoding", True, 250.0), ("s", "C", "Type0", "Identity-H", True, None), ("s", "X", "Type3", None, True, None)],
+        "source_key string, font string, subtype string, encoding string, has_widths boolean, default_width double")
+    widths = spark.createDataFrame([("s", "A", 97, 500.0), ("s", "C", 0xD801, 7.0)], "source_key string, font string, gid int, width double")
+    found = sized_shows(shows, widths, fonts)
+    assert not [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x and ("gid" in x and "op_index" in x)]
+    got = {r.op_index: (r.supported, [tuple(g) for g in r.glyphs or []]) for r in found.collect()}
+    assert got == {0: (True, [(97, 500.0), (98, 250.0)]), 1: (True, []), 2: (True, [(97, 1000.0), (0xD801, 7.0)]), 3: (False, [(None, None)]), 4: (False, [(None, None)]), 5: (True, [])}
+    each = sorted((r.op_index, r.seq if r.seq is not None else -1, r.width) for r in glyph_widths(shows, widths, fonts).where("supported").collect())
+    assert each == [(0, 0, 500.0), (0, 1, 250.0), (1, -1, None), (2, 0, 1000.0), (2, 1, 7.0), (5, -1, None)]
