@@ -11,6 +11,7 @@ from pageframe.operators.reducer import reduce_items
 from pageframe.plans.registry import plan
 from pageframe.sources import bridge
 from pageframe.sources.bridge import duck
+from pageframe.sources.layout import line_items
 
 _ACTIONS = ["setEdit", "setEdit", "setImageMove", "markImageDeleted", "setEditingRun", "addTextInsert", "patchTextInsert", "deleteTextInsert", "addImageInsert", "patchImageInsert",
             "deleteImageInsert", "markShapeDeleted", "addAnnotation", "mergeAnnotations", "patchAnnotation", "deleteAnnotation", "setFormValue", "addRedaction", "patchRedaction", "deleteRedaction"]
@@ -84,7 +85,8 @@ def top_1(spark, sf):
 
 @plan("top_4", duck("SELECT source_key, page_index, arg_max(str, length(str) * 1000000000 - index) AS longest FROM {items} GROUP BY source_key, page_index"))
 def top_4(spark, sf):
-    items = bridge.items(spark, sf)
+    """The lines of a page lie in one task, so tokens are reduced to a row a page before anything is shuffled."""
+    items = line_items(bridge.lines(spark, sf))
     return items.groupBy("source_key", "page_index").agg(pg.longest(F.col("str"), F.col("str"), F.col("index")).alias("longest"))
 
 

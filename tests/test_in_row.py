@@ -34,3 +34,12 @@ def test_shows_are_measured_in_their_row(spark):
     assert got == {0: (True, [(97, 500.0), (98, 250.0)]), 1: (True, []), 2: (True, [(97, 1000.0), (0xD801, 7.0)]), 3: (False, [(None, None)]), 4: (False, [(None, None)]), 5: (True, [])}
     each = sorted((r.op_index, r.seq if r.seq is not None else -1, r.width) for r in glyph_widths(shows, widths, fonts).where("supported").collect())
     assert each == [(0, 0, 500.0), (0, 1, 250.0), (1, -1, None), (2, 0, 1000.0), (2, 1, 7.0), (5, -1, None)]
+
+
+def test_longest_items_are_reduced_before_the_shuffle(spark):
+    from pageframe.plans import QUERIES
+    import pageframe.plans.all  # noqa: F401
+
+    plan = QUERIES["top_4"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moved) == 1 and "REPARTITION" not in moved[0]
