@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.functions.script import SPACE_CLASS
+from pageframe.functions.text import let
 from pageframe.operators.scan import islands, with_running
 
 BLOCK = 1 << 16
@@ -23,6 +24,35 @@ def merge_spans(spans: DataFrame, keys: Sequence[str], order: str = "seq", block
     return numbered.groupBy(*keys, "island").agg(text.alias("text"), F.min_by("style", order).alias("style"))
 
 
+def merged_in_row(spans: Column) -> Column:
+    """merge_spans for spans that lie in one row, as an array of struct(text, style) in order; nothing is shuffled."""
+
+    def joined(visible: Column) -> Column:
+        opens = F.transform(visible, lambda s, i: F.when((i == 0) | ~s["style"].eqNullSafe(F.get(visible, i - 1)["style"]), i))
+
+        def cut(begins: Column) -> Column:
+            def piece(b: Column, n: Column) -> Column:
+                size = F.coalesce(F.get(begins, n + 1), F.size(visible)) - b
+                text = F.array_join(F.transform(F.slice(visible, b + 1, size), lambda s: s["text"]), "")
+                return F.struct(text.alias("text"), F.get(visible, b)["style"].alias("style"))
+
+            return F.transform(begins, piece)
+
+        return let(F.filter(opens, lambda b: b.isNotNull()), cut)
+
+    return let(F.filter(spans, lambda s: s["text"] != ""), joined)
+
+
+def uniform_in_row(spans: Column) -> Column:
+    """uniform_style for spans that lie in one row, as an array of struct(text, style)."""
+
+    def agreed(visible: Column) -> Column:
+        first = F.get(visible, F.lit(0))["style"]
+        return F.when(F.forall(visible, lambda s: s["style"].eqNullSafe(first)), first)
+
+    return let(F.filter(spans, lambda s: F.translate(s["text"], "\n", "") != ""), agreed)
+
+
 def plain_text(spans: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: s["text"]), "")
     return spans.groupBy(*keys).agg(text.alias("text"))

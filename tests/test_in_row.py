@@ -21,6 +21,30 @@ def test_script_segments_match_levels_letter_by_letter(spark):
     assert exchanges(fast) == 0
 
 
+def test_spans_of_a_line_are_merged_in_their_row(spark):
+    from pageframe.operators.spans import merge_spans, merged_in_row, uniform_in_row, uniform_style
+
+    style = "struct<font_family:string,bold:boolean>"
+    faces = [("A", True), ("A", None), ("B", True), None]
+    texts = [["a", "", "b", "c"], ["", ""], [], ["x", "\n", "y"], ["\n"], ["p", "q", "r", "s", "t"]]
+    spans = [(k, [(n, t, faces[(n * n + k) // 3 % 4] if k else faces[0]) for n, t in enumerate(row)]) for k, row in enumerate(texts)]
+    rows = spark.createDataFrame(spans, f"k int, spans array<struct<seq:long,text:string,style:{style}>>")
+    each = rows.select("k", F.inline("spans"))
+    want = sorted((r.k, r.island, r.text, r.style) for r in merge_spans(each, ["k"]).collect())
+    fast = rows.select("k", F.posexplode(merged_in_row(F.col("spans"))).alias("n", "m"))
+    assert sorted((r.k, r.n + 1, r.m.text, r.m.style) for r in fast.collect()) == want
+    same = {r.k: r.style for r in uniform_style(each, ["k"]).collect()}
+    assert {r.k: r.u for r in rows.select("k", uniform_in_row(F.col("spans")).alias("u")).collect()} == {k: same.get(k) for k in range(len(texts))}
+    assert exchanges(fast) == 0
+
+
+def test_spans_plan_shuffles_no_token(spark):
+    from pageframe.plans import QUERIES
+    import pageframe.plans.all  # noqa: F401
+
+    assert exchanges(QUERIES["txt_18"](spark, "/root/testdata/sf0.001")) == 0
+
+
 def test_shows_are_measured_in_their_row(spark):
     rows = [(0, "A", b"ab"), (1, "A", b""), (2, "C", b"\x00a\xd8\x01\xff"), (3, "X", b"ab"), (4, "none", b"a"), (5, "A", None)]
     shows = spark.createDataFrame([("s", 0, *r) for r in rows], "source_key string, page_index int, op_index int, font string, bytes binary")
