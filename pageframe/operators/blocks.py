@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageframe.functions.script import has_list_marker, is_rtl_block_text
-from pageframe.functions.text import indent_lines
-from pageframe.operators.scan import islands, with_running
+from pageframe.functions.text import indent_lines, let
 
 PAGE = ["source_key", "page_index"]
 
@@ -15,26 +14,38 @@ PAGE = ["source_key", "page_index"]
 SAME_SIZE, SAME_ROW, DISTINCT_SHARE = 0.2, 0.35, 0.8
 STEP_RANGE, INDENT, LIST_INDENT = (0.65, 1.8), 1.25, 8.0
 JUSTIFY_SLACK = 0.75
+ROW_UNIT = 1.000001
+
+
+def _with_cells(runs: DataFrame) -> DataFrame:
+    """Runs with `_cell`: another run stands beside them in their row (table cells).
+
+    A window over the baselines of a page, in units of a little more than the page's tallest reach, holds all a run can
+    share its row with; the exact test follows.
+    """
+    page = Window.partitionBy(*PAGE)
+    tall = F.greatest(F.col("box_height"), F.col("height"))
+    kept = runs.columns
+    placed = runs.withColumn("_tall", tall).withColumn("_unit", F.col("baseline_y") / (F.max("_tall").over(page) * (SAME_ROW * ROW_UNIT)))
+    slim = F.struct("run_id", "left", "width", "baseline_y", "_tall")
+    near = F.collect_list(slim).over(page.orderBy("_unit").rangeBetween(-1, 1))
+
+    def beside(o: Column) -> Column:
+        shared = F.least(F.col("left") + F.col("width"), o["left"] + o["width"]) - F.greatest(F.col("left"), o["left"])
+        return (
+            (F.col("run_id") != o["run_id"])
+            & (F.abs(F.col("baseline_y") - o["baseline_y"]) <= F.greatest(F.col("_tall"), o["_tall"]) * SAME_ROW)
+            & (shared < F.least(F.col("width"), o["width"]) * DISTINCT_SHARE)
+        )
+
+    found = placed.withColumn("_near", near)
+    return found.select(*kept, F.coalesce(F.exists("_near", beside), F.lit(False)).alias("_cell"))
 
 
 def same_row_neighbours(runs: DataFrame) -> DataFrame:
     """Runs that share their row with another run beside them (table cells)."""
-    tall = F.greatest(F.col("box_height"), F.col("height"))
-    slim = runs.select(*PAGE, "run_id", "left", "width", "baseline_y", tall.alias("tall"))
-    reach = slim.groupBy(*PAGE).agg((F.max("tall") * SAME_ROW).alias("reach"))
-    banded = slim.join(reach, PAGE).withColumn("band", F.floor(F.col("baseline_y") / F.col("reach")))
-    other = banded.select(
-        *[F.col(c).alias(f"o_{c}") for c in (*PAGE, "run_id", "left", "width", "baseline_y", "tall")],
-        F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("band") + d)).alias("o_band"),
-    )
-    shared = F.least(F.col("left") + F.col("width"), F.col("o_left") + F.col("o_width")) - F.greatest("left", "o_left")
-    on = (
-        (F.col("source_key") == F.col("o_source_key")) & (F.col("page_index") == F.col("o_page_index"))
-        & (F.col("band") == F.col("o_band")) & (F.col("run_id") != F.col("o_run_id"))
-        & (F.abs(F.col("baseline_y") - F.col("o_baseline_y")) <= F.greatest("tall", "o_tall") * SAME_ROW)
-        & (shared < F.least("width", "o_width") * DISTINCT_SHARE)
-    )
-    return banded.join(other, on, "left_semi").select(*PAGE, "run_id")
+    slim = runs.select(*PAGE, "run_id", "left", "width", "baseline_y", "box_height", "height")
+    return _with_cells(slim).where("_cell").select(*PAGE, "run_id")
 
 
 def _edge(line: Column, rtl: Column) -> Column:
@@ -46,10 +57,11 @@ def group_paragraphs(runs: DataFrame) -> DataFrame:
 
     Tests against the previous line cut a page into chains; inside a chain a
     fold carries the first line of the open block for the tests that need it.
+    All of it are windows and groups of a page, so the runs are dealt out once at
+    most, made once and joined with nothing.
     """
-    cells = same_row_neighbours(runs).withColumn("_cell", F.lit(True))
-    rows = runs.join(cells, [*PAGE, "run_id"], "left").withColumn("_cell", F.coalesce("_cell", F.lit(False)))
-    rows = rows.withColumn("_rtl", is_rtl_block_text(F.col("text"))).withColumn("_list", has_list_marker(F.col("text")))
+    page = Window.partitionBy(*PAGE).orderBy("run_no")
+    rows = _with_cells(runs).withColumn("_rtl", is_rtl_block_text(F.col("text"))).withColumn("_list", has_list_marker(F.col("text")))
 
     def style_differs(a: dict, b: dict) -> Column:
         tall = F.greatest(a["height"], b["height"])
@@ -64,15 +76,19 @@ def group_paragraphs(runs: DataFrame) -> DataFrame:
     step = F.abs(F.col("baseline_y") - F.col("_p_base"))
     # The nominal height also counts the first line, so only its lower bound can be tested here.
     too_close = step < F.greatest("box_height", "_p_box") * STEP_RANGE[0]
-    breaks = lambda: (
-        style_differs(was, now) | F.col("_cell") | F.col("_p_cell") | (F.col("_rtl") != F.col("_p_rtl")) | too_close
-    )
+    breaks = style_differs(was, now) | F.col("_cell") | F.col("_p_cell") | (F.col("_rtl") != F.col("_p_rtl")) | too_close
     previous = {f"_p_{n}": n for n in names} | {
         "_p_cell": "_cell", "_p_rtl": "_rtl", "_p_base": "baseline_y", "_p_box": "box_height"}
-    chained = islands(rows, PAGE, "run_no", previous, breaks, "chain")
+    near = F.lag(F.struct(*[F.col(old).alias(new) for new, old in previous.items()])).over(page)
+    linked = rows.withColumn("_near", near).select("*", *[F.col("_near")[new].alias(new) for new in previous])
+    opens = F.col("_near").isNull() | F.coalesce(breaks, F.lit(True))
+    chained = linked.withColumn("_chain", F.sum(opens.cast("int")).over(page.rowsBetween(Window.unboundedPreceding, 0)))
     line = F.struct("run_no", "run_id", "left", "width", "box_height", "height", "baseline_y", F.col("_rtl").alias("rtl"),
                     F.col("_list").alias("is_list"), "font_family", "bold", "italic")
-    chains = chained.groupBy(*PAGE, "chain").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    others = [c for c in runs.columns if c not in PAGE]
+    pair = F.struct("run_no", line.alias("line"), F.struct(*others).alias("run"))
+    chains = chained.groupBy(*PAGE, "_chain").agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
+    chains = chains.select(*PAGE, "_pairs", F.transform("_pairs", lambda x: x["line"]).alias("lines"))
 
     def fold(state: Column, next_line: Column) -> Column:
         first, prev = state["first"], state["prev"]
@@ -92,9 +108,8 @@ def group_paragraphs(runs: DataFrame) -> DataFrame:
     start = F.struct(F.get(lines, F.lit(0)).alias("first"), F.get(lines, F.lit(0)).alias("prev"),
                      F.array(F.get(lines, F.lit(0))["run_no"]).alias("heads"))
     heads = F.aggregate(F.slice(lines, 2, F.size(lines)), start, fold, lambda s: s["heads"])
-    opened = chains.select(*PAGE, F.explode(F.arrays_zip(F.transform(lines, lambda x: x["run_no"]).alias("run_no"), heads.alias("head"))).alias("z"))
-    opened = opened.select(*PAGE, F.col("z.run_no").alias("run_no"), F.col("z.head").alias("block_head"))
-    return runs.join(opened, [*PAGE, "run_no"])
+    placed = F.arrays_zip(F.transform("_pairs", lambda x: x["run"]).alias("run"), heads.alias("block_head"))
+    return chains.select(*PAGE, F.inline(placed)).select(*PAGE, *[F.col("run")[c].alias(c) for c in others], "block_head")
 
 
 def median_step(baselines: Column) -> Column:
@@ -111,16 +126,23 @@ def justified_flags(lines: Column) -> Column:
     """
     n = F.size(lines)
     first = F.get(lines, F.lit(0))
+
+    def measure(skip: Column) -> Column:
+        body = F.slice(lines, skip + 1, F.greatest(n - 1 - skip, F.lit(0)))
+        return let(body, lambda b: F.struct(
+            skip.alias("skip"), b.alias("body"), F.array_min(F.transform(b, lambda x: x["left"])).alias("left"),
+            F.array_max(F.transform(b, lambda x: x["left"] + x["width"])).alias("right"),
+            (F.array_max(F.transform(b, lambda x: x["height"])) * JUSTIFY_SLACK).alias("slack")))
+
+    def judge(m: Column) -> Column:
+        even = F.forall(m["body"], lambda x: (F.abs(x["left"] - m["left"]) <= m["slack"]) & (F.abs(x["left"] + x["width"] - m["right"]) <= m["slack"]))
+        return F.struct(m["skip"].alias("skip"), ((F.size(m["body"]) >= 2) & even).alias("ltr"), is_rtl_block_text(first["text"]).alias("rtl"), n.alias("n"))
+
+    # Each value is taken once for the block, not once for a line.
+    flags = lambda j: F.transform(
+        lines, lambda _, i: (j["n"] >= 3) & (i < j["n"] - 1) & F.when(j["rtl"], True).otherwise(j["ltr"] & (i >= j["skip"])))
     skip = F.when(has_list_marker(first["text"]) & (n - 1 > 2), 1).otherwise(0)
-    body = F.slice(lines, skip + 1, F.greatest(n - 1 - skip, F.lit(0)))
-    left = F.array_min(F.transform(body, lambda x: x["left"]))
-    right = F.array_max(F.transform(body, lambda x: x["left"] + x["width"]))
-    slack = F.array_max(F.transform(body, lambda x: x["height"])) * JUSTIFY_SLACK
-    even = F.forall(body, lambda x: (F.abs(x["left"] - left) <= slack) & (F.abs(x["left"] + x["width"] - right) <= slack))
-    ltr = (F.size(body) >= 2) & even
-    rtl = is_rtl_block_text(first["text"])
-    return F.transform(
-        lines, lambda _, i: (n >= 3) & (i < n - 1) & F.when(rtl, True).otherwise(ltr & (i >= skip)))
+    return let(let(let(skip, measure), judge), flags)
 
 
 def make_blocks(grouped: DataFrame) -> DataFrame:
@@ -143,7 +165,7 @@ def make_blocks(grouped: DataFrame) -> DataFrame:
     placed = F.transform("lines", lambda x, i: F.struct(x["text"], x["left"], x["width"], x["height"], F.get("justify", i).alias("justify")))
     layout = lambda x, i: F.struct((x["left"] - left).alias("left"), (x["top"] - top).alias("top"), x["width"].alias("width"), F.get("justify", i).alias("justify"))
     number = F.col("block_no") - 1
-    blocks = with_running(blocks, PAGE, "block_head", {"block_no": ("sum", F.lit(1))})
+    blocks = blocks.withColumn("block_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_head")))
     return blocks.select(
         *PAGE, "block_head",
         F.when(many, F.concat(F.lit("p"), F.col("page_index") + 1, F.lit("-b"), number)).otherwise(F.get("lines", F.lit(0))["run_id"]).alias("block_id"),

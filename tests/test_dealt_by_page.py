@@ -28,3 +28,18 @@ def test_runs_shuffle_no_items(spark, sf, name):
 @pytest.mark.parametrize("name", ["join_2", "join_3", "join_4", "join_5", "qa_1", "agg_12"])
 def test_nearest_matches_shuffle_no_items(spark, sf, name):
     assert shuffles(spark, name, sf) == 0
+
+
+@pytest.mark.parametrize("name", ["join_10", "win_5", "agg_2"])
+def test_paragraphs_shuffle_no_lines(spark, sf, name):
+    assert shuffles(spark, name, sf) == 0
+
+
+def test_justification_looks_at_a_block_once(spark):
+    from pyspark.sql import functions as F
+
+    from pageframe.operators.blocks import justified_flags
+
+    rows = spark.sql("SELECT array(named_struct('text', '1. a', 'left', 100D, 'width', 50D, 'height', 24D)) AS lines")
+    plan = rows.select(justified_flags(F.col("lines")).alias("j"))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("rlike") == 2
