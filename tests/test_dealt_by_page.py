@@ -43,3 +43,27 @@ def test_justification_looks_at_a_block_once(spark):
     rows = spark.sql("SELECT array(named_struct('text', '1. a', 'left', 100D, 'width', 50D, 'height', 24D)) AS lines")
     plan = rows.select(justified_flags(F.col("lines")).alias("j"))._jdf.queryExecution().analyzed().toString()
     assert plan.lower().count("rlike") == 2
+
+
+def test_capture_shuffles_no_shows(spark, sf):
+    assert shuffles(spark, "join_7_fallback", sf) == 0
+
+
+def test_decoration_candidates_shuffle_no_shapes(spark, sf):
+    from pageframe.operators.runs import decoration_candidates
+    from pageframe.plans import runs as rp
+
+    found = decoration_candidates(rp._shapes(spark, sf), rp._pdf_runs(spark, sf))
+    assert found._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS") == 0
+
+
+def test_met_in_band_equals_pairs_of_a_page(spark):
+    from pageframe.operators.grid import met_in_band
+
+    rows = [(k, p, float(n * n % 37) / 2) for p in (0, 1, 2, None) for n, k in enumerate(range(40))]
+    marks = [(k, p, float(n * 7 % 20), 1.0 + n % 3) for p in (0, 1, 3, None) for n, k in enumerate(range(15))]
+    left = spark.createDataFrame([("s", p, k, y) for k, p, y in rows], "source_key string, page_index int, a int, y double")
+    right = spark.createDataFrame([("s", p, k, v, r) for k, p, v, r in marks], "source_key string, page_index int, b int, v double, r double")
+    found = met_in_band(left, right, "y", "v", "r").where("abs(y - v) <= r").collect()
+    want = sorted((p, k, b) for k, p, y in rows for b, q, v, r in marks if p == q and p is not None and abs(y - v) <= r)
+    assert sorted((x.page_index, x.a, x.b) for x in found) == want
