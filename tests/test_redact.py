@@ -146,3 +146,16 @@ def test_pattern_spans_redact_whole_text(spark):
     rows = rd.redact_text(df.withColumn("s", rd.pattern_spans(F.col("t"), r"[a-z.]+@[a-z.]+|[0-9]+(?:\.[0-9]+){3}")), "t", "s").collect()
     assert rows[0].redacted == "mail █████████ and ████████ end" and rows[0].plan == "rewrite"
     assert rows[1].redacted == "none" and rows[1].plan == "untouched"
+
+
+def test_redacted_shapes_are_made_once(spark, tmp_path):
+    from pageframe.functions.geometry import rect as box
+
+    rows = [("s", p, f"s{n}", 10.0 * n) for p in range(3) for n in range(4)]
+    spark.createDataFrame(rows, "source_key string, page_index int, shape_id string, x double").write.parquet(f"{tmp_path}/shapes")
+    shapes = spark.read.parquet(f"{tmp_path}/shapes").withColumn("rect", box(F.col("x"), F.lit(0.0), F.lit(300.0), F.lit(5.0)))
+    reds = spark.createDataFrame([("s", 1, 25.0), ("s", 1, 305.0), ("s", 9, 0.0)], "source_key string, page_index int, at double")
+    hit = rd.redact_shapes(shapes, reds.select("source_key", "page_index", box(F.col("at"), F.lit(1.0), F.lit(3.0), F.lit(1.0)).alias("red")))
+    assert hit._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert hit.columns == shapes.columns
+    assert sorted((r.page_index, r.shape_id) for r in hit.collect()) == [(1, "s0"), (1, "s1"), (1, "s2"), (1, "s3")]
