@@ -29,6 +29,8 @@ LATIN_KEYWORDS = (
 ITALIC_FLAG, BOLD_FLAG, BOLD_WEIGHT = 0x40, 0x40000, 600
 DRAW_TOKEN = rf"[{SPACE_CLASS}]+|[0-9]+(?:[./:-][0-9]+)+|[0-9]+|\p{{P}}+|[^{SPACE_CLASS}0-9\p{{P}}]+"
 WRAP_TOKEN = rf"[{SPACE_CLASS}]+|[^{SPACE_CLASS}]+"
+# The same tokens as WRAP_TOKEN: all of Zs is in the class of spaces, but with a property in it the negated class is several times faster.
+WRAP_PATTERN = rf"[{SPACE_CLASS}]+|[^{SPACE_CLASS}\p{{Zs}}]+"
 SPACE_EM, CHAR_EM = 0.25, 0.5
 
 # A small registry of (family, aliases, script), in order of preference.
@@ -121,7 +123,7 @@ def tokenise(text: Column) -> Column:
 
 
 def wrap_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WRAP_TOKEN), 0)
+    return F.regexp_extract_all(text, F.lit(WRAP_PATTERN), 0)
 
 
 def space_count_for_gap(gap: Column, em: Column) -> Column:

@@ -49,3 +49,13 @@ def test_spans(spark):
     assert parts == [(0, 0, "one"), (1, 0, "two"), (1, 1, " three")]
     rows = spark.createDataFrame([("b", 0, "a", bold), ("b", 1, "", italic), ("b", 2, "b", bold), ("b", 3, "c", None)], f"k string, seq long, text string, style {style}")
     assert [r.text for r in merge_spans(rows, ["k"]).orderBy("island").collect()] == ["ab", "c"]
+
+
+def test_wrap_pattern_cuts_at_every_kind_of_space(spark):
+    from pageframe.functions.script import SPACE_CLASS
+
+    text = F.concat_ws("x", F.transform(F.sequence(F.lit(1), F.lit(0xD7FF)), lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")))
+    rows = spark.range(1).select(text.alias("t"))
+    want = F.regexp_extract_all("t", F.lit(tx.WRAP_TOKEN), 0)
+    assert rows.select((tx.wrap_tokens(F.col("t")) == want).alias("same"), F.size(want).alias("n")).first() == (True, 2 * 24 + 1)
+    assert "Zs" in tx.WRAP_PATTERN and SPACE_CLASS in tx.WRAP_PATTERN
