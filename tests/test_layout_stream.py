@@ -87,3 +87,11 @@ def test_registry():
 
     assert len(entry.queries()) > 140 and set(ORACLES) <= set(QUERIES)
     assert not any("{" + v + "}" in sql for sql in ORACLES.values() for v in ("lines", "items", "ops", "runs"))
+
+
+def test_lines_of_one_piece_are_not_cut_letter_by_letter(spark):
+    from pageframe.sources import layout
+
+    df = spark.createDataFrame([(1, "a b  c")], "doc_id long, text string")
+    plan = layout.line_items(layout.text_lines(df, "text"))._jdf.queryExecution().analyzed().toString()
+    assert "translate(" not in plan and "CASE WHEN (length(line" in plan
