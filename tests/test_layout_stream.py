@@ -95,3 +95,13 @@ def test_lines_of_one_piece_are_not_cut_letter_by_letter(spark):
     df = spark.createDataFrame([(1, "a b  c")], "doc_id long, text string")
     plan = layout.line_items(layout.text_lines(df, "text"))._jdf.queryExecution().analyzed().toString()
     assert "translate(" not in plan and "CASE WHEN (length(line" in plan
+
+
+def test_results_are_written_with_zstd(spark, tmp_path):
+    from pageframe.sources import layout
+
+    df = spark.createDataFrame([(f"s{n}", n) for n in range(20)], "source_key string, n int")
+    layout.write_result({"items": df}, f"{tmp_path}/out", buckets=2)
+    names = [p.name for p in (tmp_path / "out" / "items").rglob("*.parquet")]
+    assert names and all(".zstd." in n for n in names)
+    assert sorted((r.source_key, r.n) for r in spark.read.parquet(f"{tmp_path}/out/items").collect()) == sorted((f"s{n}", n) for n in range(20))
