@@ -41,7 +41,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[parent[moved]]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the links of a partition by the stars of their components; at most 2^20 links are held."""
     a, b = [], []
 
@@ -62,14 +62,16 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, contracted: bool = False) -> DataFrame:
     """(node, component) for every node that a link (a, b) ties to a smaller one; `component` is the smallest node.
 
     Links may repeat, point either way or at themselves; nulls are left out. Nodes
     that are their own centre have no row. An empty table gives an empty table.
+    `contracted` says that `contract` has been over the partitions of the links: a second
+    Python step in a stage would keep a second worker alive for each core.
     """
     spread = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    current = written(spread.mapInArrow(_contract, LINK).distinct(), "links")
+    current = written((spread if contracted else spread.mapInArrow(contract, LINK)).distinct(), "links")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first())

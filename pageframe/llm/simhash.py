@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.llm.components import LINK, connected_components
+from pageframe.llm.components import LINK, connected_components, contract
 from pageframe.llm.phrases import bit_array, has
 from pageframe.llm.store import over_batches, sliced, written
 
@@ -184,6 +184,9 @@ def _links(segments: int, bits: int, check_bits: int):
         if left:
             yield from part(left)
 
+    def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return contract(run(batches))
+
     def part(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not len(cols[0]):
             return
@@ -192,7 +195,7 @@ def _links(segments: int, bits: int, check_bits: int):
             changed[1:] |= c[1:] != c[:-1]
         yield from links(cols[0], np.cumsum(changed), cols[4].view(np.uint64), cols[5], cols[6].view(np.uint64))
 
-    return run
+    return contracted
 
 
 def near_links(
@@ -207,7 +210,7 @@ def near_links(
     """Links (a, b) that connect whatever nodes have a print in which they differ in at most `bits` places.
 
     `nodes` holds distinct prints and a node each. The column `check` may differ in at most `check_bits` places too.
-    Every such pair is joined by a path of returned links.
+    Every such pair is joined by a path of returned links, which are the stars that `contract` leaves of a partition.
     """
     patterns = key_patterns(segments, bits)
     kinds = [
@@ -217,7 +220,12 @@ def near_links(
     ]
     keyed = nodes.select("node", F.col(check).alias("check"), F.explode(F.array(*kinds)).alias("k"))
     keyed = keyed.select("k.kind", "k.part", "k.fp", "node", "check")
-    many = keyed.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    # counted by bucket first, some `block` / 8 rows each, so that a task holds a number a bucket and not one for each of its keys
+    bucket = F.pmod(F.xxhash64("kind", "part"), F.lit(nodes.count() * len(kinds) * 8 // block + 1))
+    crowded = keyed.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    crowded = written(crowded.select("bucket"), "crowded")
+    many = keyed.withColumn("bucket", bucket).join(crowded, "bucket", "left_semi")
+    many = many.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     # written, so that its size is known: Spark broadcasts it below its own threshold and joins by shuffle above
     many = written(many.select("kind", "part", F.ceil(F.col("n") / block).cast("int").alias("n_blocks")), "many")
     sized = keyed.join(many, ["kind", "part"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
@@ -238,7 +246,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", bits: int = 4, w
     marked = written(with_fingerprints(docs, text, width), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
     links = near_links(nodes.where("node IS NOT NULL"), bits, segments)
-    centres = connected_components(links)
+    centres = connected_components(links, contracted=True)
     classes = nodes.join(centres, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
@@ -277,7 +285,7 @@ def text_classes(docs: DataFrame, text: str = "text", width: int = 5, bits: int
     marked = written(over_batches(source, run, "doc_id long, tag long, " + ", ".join(f"{n} long" for n in names)), "prints")
     nodes = marked.groupBy(*names).agg(F.min("doc_id").alias("least"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    centres = connected_components(near_links(nodes, bits, prints=tuple(names[:-1]), check="shingles", check_bits=similar_bits))
+    centres = connected_components(near_links(nodes, bits, prints=tuple(names[:-1]), check="shingles", check_bits=similar_bits), contracted=True)
     classes = written(nodes.join(centres, "node", "left").select(*names, "least", F.coalesce("component", "node").alias("class")), "classes")
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     return marked.join(classes.join(least, "class").drop("least"), names).select("doc_id", "tag", "class", "component_id")

@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from pageframe.llm import simhash
+from pageframe.llm import components, simhash
 from pageframe.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, fp string, node int"
@@ -64,6 +64,22 @@ def test_hot_keys_are_cut_into_blocks(spark):
     assert got == {i: x for i, x in enumerate(label) if x != i}
 
 
+def test_keys_are_counted_by_bucket_and_links_made_in_one_python_step(spark, monkeypatch):
+    plans = {}
+
+    def seen(real):
+        return lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and real(df, name)
+
+    monkeypatch.setattr(simhash, "written", seen(simhash.written))
+    monkeypatch.setattr(components, "written", seen(components.written))
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(500, 60).astype(str))) for i in range(20)], "doc_id long, text string")
+    assert simhash.text_classes(docs).count() == 20
+    assert "pmod(xxhash64(" in plans["crowded"] and "keys=[kind#" not in plans["crowded"]
+    assert "BroadcastExchange" in plans["many"] or "SortMergeJoin" in plans["many"]
+    assert plans["links"].count("MapInArrow") == 1
+
+
 def test_pigeonring_patterns_find_every_close_pair():
     rng = np.random.default_rng(3)
     for segments in (5, 6, 7, 8):
