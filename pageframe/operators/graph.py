@@ -12,24 +12,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.session import cut_lineage
+from pageframe.session import cut_lineage, parquet_copy
 
 FILE = ("source_key",)
-#: Rounds after which a climb looks for cycles: by then paths of 2^7 links are done.
+#: Rounds after which a climb looks for cycles, as by then paths of 2^7 links are done, and a search for stretches.
 TRUSTED_ROUNDS = 7
 
 
 def reachable(edges: DataFrame, roots: DataFrame, node: str = "node", within: Sequence[str] = ()) -> DataFrame:
     """Nodes reachable from the roots over edges (*within, src, dst); cycles are fine.
 
+    A round expands only what was found last, which is written out, and reads the edges once. What is still open after
+    `TRUSTED_ROUNDS` rounds goes on over stretches without branches, so a long path takes few rounds and a flat graph
+    pays for no stretch. Repeated edges count once; edges with a null end are left out.
+    """
+    links = edges.select(*within, "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    begin = parquet_copy(roots.select(*within, node).where(F.col(node).isNotNull()).distinct(), "roots")
+    found, frontier = _search(links, begin, node, within, TRUSTED_ROUNDS)
+    if frontier is None:
+        return found
+    found = cut_lineage(found)
+    onward = links.distinct().join(found.select(*within, F.col(node).alias("dst")), [*within, "dst"], "left_anti")
+    return found.unionByName(_over_stretches(cut_lineage(onward), frontier, node, within).join(frontier, [*within, node], "left_anti"))
+
+
+def _over_stretches(links: DataFrame, begin: DataFrame, node: str, within: Sequence[str]) -> DataFrame:
+    """`reachable` for distinct links and roots.
+
     Stretches without branches are passed in one round: a node with one way in, from a node with one way out, is reached
     exactly when that one is, so such stretches are named by their first node (paths double, log2 of their length rounds)
-    and the search goes over these names. A root begins a stretch. Each round expands only what was found last and is
-    written out. Repeated edges count once; edges with a null end are left out.
+    and the search goes over these names. A root begins a stretch.
     """
-    keys = [*within, node]
-    links = cut_lineage(edges.select(*within, "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    begin = cut_lineage(roots.select(*keys).where(F.col(node).isNotNull()).distinct())
     only = lambda side, other: links.groupBy(*within, side).agg(F.count(F.lit(1)).alias("n"), F.first(other).alias(other)).where("n = 1").drop("n")
     straight = only("src", "dst").join(only("dst", "src"), [*within, "src", "dst"]).where("src <> dst")
     inner = straight.join(begin.select(*within, F.col(node).alias("dst")), [*within, "dst"], "left_anti")
@@ -37,7 +50,7 @@ def reachable(edges: DataFrame, roots: DataFrame, node: str = "node", within: Se
     named = lambda df, column, name: df.join(
         heads.select(*within, F.col("node").alias(column), F.col("head").alias("_head")), [*within, column], "left").withColumn(name, F.coalesce("_head", column)).drop("_head")
     jumps = named(named(links, "src", "_from"), "dst", "_to").where("_from <> _to").select(*within, F.col("_from").alias("src"), F.col("_to").alias("dst"))
-    found = _search(cut_lineage(jumps.distinct()), begin, node, within)
+    found, _ = _search(cut_lineage(jumps.distinct()), begin, node, within)
     members = heads.join(found.select(*within, F.col(node).alias("head")), [*within, "head"], "left_semi").select(*within, F.col("node").alias(node))
     return found.unionByName(members)
 
@@ -60,19 +73,22 @@ def _stretches(links: DataFrame, within: Sequence[str]) -> DataFrame:
     return state.join(ringed, [*within, "up"], "left_anti").select(*within, "node", F.col("up").alias("head"))
 
 
-def _search(edges: DataFrame, roots: DataFrame, node: str, within: Sequence[str]) -> DataFrame:
+def _search(edges: DataFrame, roots: DataFrame, node: str, within: Sequence[str], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes found in at most `most` rounds, and those found last if there may be more."""
     keys = [*within, node]
-    frontier, found = roots, [roots]
-    while True:
+    frontier, found, rounds = roots, [roots], 0
+    while rounds != most:
         step = edges.join(frontier.select(*within, F.col(node).alias("src")), [*within, "src"], "left_semi").select(*within, F.col("dst").alias(node)).distinct()
         for known in found:
             step = step.join(known, keys, "left_anti")
-        frontier = cut_lineage(step)
+        frontier = parquet_copy(step, "frontier")
         if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            return reduce(DataFrame.unionByName, found), None
         found.append(frontier)
         if len(found) > 8:
             found = [cut_lineage(reduce(DataFrame.unionByName, found))]
+        rounds += 1
+    return reduce(DataFrame.unionByName, found), frontier
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, node: str = "node", within: Sequence[str] = ()) -> DataFrame:
@@ -154,7 +170,7 @@ def top_ancestor(nodes: DataFrame, node: str = "node_id", parent: str = "parent_
 def terminal_fields(nodes: DataFrame, within: Sequence[str] = FILE) -> DataFrame:
     """Fields without sub-fields. A child is a sub-field when it or a descendant has a name."""
     keys = [*within, "node_id"]
-    upward = nodes.where(F.col("parent_id").isNotNull()).select(*within, F.col("node_id").alias("src"), F.col("parent_id").alias("dst"))
+    upward = cut_lineage(nodes.where(F.col("parent_id").isNotNull()).select(*within, F.col("node_id").alias("src"), F.col("parent_id").alias("dst")))
     found = reachable(upward, nodes.where(F.col("name").isNotNull()).select(*within, F.col("node_id").alias("node")), "node", within)
     fields = cut_lineage(found.select(*within, F.col("node").alias("node_id")))
     parents = nodes.join(fields, keys, "left_semi").select(*within, F.col("parent_id").alias("node_id")).where(F.col("node_id").isNotNull()).distinct()

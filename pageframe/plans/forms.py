@@ -33,7 +33,7 @@ def _nodes(spark, sf):
 @plan("grf_1", duck("""
     WITH RECURSIVE r AS (SELECT concat('O', o_orderkey) AS node FROM orders WHERE o_orderstatus = 'P' UNION SELECT e.dst FROM r JOIN {edges} e ON e.src = r.node) SELECT node FROM r"""))
 def grf_1(spark, sf):
-    edges = cut_lineage(bridge.view(spark, sf, "edges").distinct())
+    edges = bridge.view(spark, sf, "edges")
     roots = bridge.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("O"), "o_orderkey").alias("node"))
     return gr.reachable(edges, roots)
 
@@ -42,7 +42,7 @@ def grf_1(spark, sf):
     WITH RECURSIVE r AS (SELECT concat('O', o_orderkey) AS node FROM orders WHERE o_orderstatus = 'P' UNION SELECT e.dst FROM r JOIN {edges} e ON e.src = r.node)
     SELECT DISTINCT n AS node FROM (SELECT src AS n FROM {edges} UNION ALL SELECT dst FROM {edges}) WHERE n NOT IN (SELECT node FROM r)"""))
 def grf_1_unreachable(spark, sf):
-    edges = cut_lineage(bridge.view(spark, sf, "edges").distinct())
+    edges = bridge.view(spark, sf, "edges")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     roots = bridge.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("O"), "o_orderkey").alias("node"))
     return gr.unreachable(nodes, edges, roots)

@@ -57,3 +57,10 @@ def test_long_path_takes_few_rounds(spark, monkeypatch):
     edges = spark.range(100_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert gr.reachable(edges, spark.createDataFrame([(40,)], "node long")).count() == 100_000 - 39
     assert len(rounds) < 60
+
+
+def test_flat_graph_makes_no_stretches(spark, monkeypatch):
+    monkeypatch.setattr(gr, "_stretches", lambda *_: 1 / 0)
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), (None, "z"), ("c", None)], "src string, dst string")
+    got = gr.reachable(edges, spark.createDataFrame([("a",), ("a",), (None,)], "node string"))
+    assert sorted(r.node for r in got.collect()) == ["a", "b", "c"]
