@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.llm.store import over_batches
+from pageframe.llm.store import no_collection, over_batches
 
 CACHED = 400_000
 STATES = 100_000
@@ -140,32 +140,42 @@ class Transducer:
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The state after `byte`, and the ids of the tokens that from there on all open prefixes share."""
-        kids, tokens, inner = self.kids, self.tokens, self.inner
-        whole, grown = None, []
+        kids, tokens, inner, pairs = self.kids, self.tokens, self.inner, self.pairs
+        last, whole, done, grown = state.last, None, (), []
         for path, node in state.open:  # longest rest first; only one token fits
             node = kids.get(node << 8 | byte)
             if node is None:
                 continue
-            if whole is None and tokens[node] != NONE and self.compatible(path[-1] if path else state.last, tokens[node]):
-                whole = (*path, tokens[node])
+            if whole is None and (token := tokens[node]) != NONE:
+                left = path[-1] if path else last
+                fits = pairs.get(left << 32 | token) if left != NONE else True
+                if self.compatible(left, token) if fits is None else fits:
+                    whole = (*path, token)
             if inner[node]:
                 grown.append((path, node))
         if whole is not None:
             grown.append((whole, 0))
-        first = grown[0][0] if grown else ()
-        shared = len(first)
-        for path, _ in grown[1:]:
-            while first[:shared] != path[:shared]:
-                shared -= 1
-        done = first[:shared]
-        last = done[-1] if done else state.last
-        key = (last, *((path[shared:], rest) for path, rest in grown))
+        if grown and (first := grown[0][0]):
+            shared = len(first)
+            for path, _ in grown[1:]:
+                while first[:shared] != path[:shared]:
+                    shared -= 1
+                if not shared:
+                    break
+            else:
+                done = first[:shared]
+                last = done[-1]
+                grown = [(path[shared:], rest) for path, rest in grown]
+        opened = tuple(grown)
+        key = (last, opened)
         after = self.states.get(key)
         if after is None:
             if len(self.states) >= STATES:
+                for old in self.states.values():  # states refer to each other in rings
+                    old.steps.clear()
                 self.states.clear()
                 self.start.steps.clear()
-            after = self.states[key] = State(last, key[1:])
+            after = self.states[key] = State(last, opened)
         found = after, done
         state.steps[byte] = found
         return found
@@ -303,7 +313,8 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = coder(vocabulary, pattern)
-        ids = [code.encode(t or "") for t in batch.column(1).to_pylist()]
+        with no_collection():
+            ids = [code.encode(t or "") for t in batch.column(1).to_pylist()]
         columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
 
@@ -331,13 +342,14 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = coder(vocabulary, pattern)
         counts, ids_hash, text_hash = [], [], []
-        for content in batch.column(1).to_pylist():
-            ids = code.encode(content or "")
-            counts.append(len(ids))
-            ids_hash.append(hashlib.sha256(",".join(map(code.digits.__getitem__, ids)).encode()).hexdigest())
-            digest = hashlib.sha256()
-            digest.update(code.decode(ids).encode())
-            text_hash.append(digest.hexdigest())
+        with no_collection():
+            for content in batch.column(1).to_pylist():
+                ids = code.encode(content or "")
+                counts.append(len(ids))
+                ids_hash.append(hashlib.sha256(",".join(map(code.digits.__getitem__, ids)).encode()).hexdigest())
+                digest = hashlib.sha256()
+                digest.update(code.decode(ids).encode())
+                text_hash.append(digest.hexdigest())
         columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,6 +38,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
         pa.default_memory_pool().release_unused()
 
 
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Without the search for rings, which walks over large caches again and again. What runs in it leaves no rings behind."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """`mapInArrow` for a function that turns one batch into one batch."""
 

@@ -1,4 +1,6 @@
+import gc
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers as P
@@ -6,6 +8,7 @@ import pytest
 import tiktoken
 
 from pageframe.llm import bpe
+from pageframe.llm.store import no_collection
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, n_tokens string, ids string"
@@ -61,3 +64,17 @@ def test_round_trip(spark, peer):
     ids = bpe.encoded(docs, PATH, P.PATTERN)
     assert sorted((str(r.doc_id), r.text) for r in bpe.decoded(ids, PATH, P.PATTERN).collect()) == sorted((str(i), t or "") for i, t in rows)
     assert bpe.round_trip(docs.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_dropped_states_need_no_collection(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 40)
+    encode = bpe.Transducer(bpe.read_ranks(PATH))
+    rng = random.Random(4)
+    gc.collect()
+    with no_collection():
+        before = sum(isinstance(x, bpe.State) for x in gc.get_objects())
+        for _ in range(400):
+            encode("".join(rng.choices("abcdeé ", k=12)).encode())
+        assert not gc.isenabled()
+        assert sum(isinstance(x, bpe.State) for x in gc.get_objects()) - before < 100
+    assert gc.isenabled()
