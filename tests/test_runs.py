@@ -124,3 +124,20 @@ def test_pair_decorations_in_turn(spark):
     pairs = sorted((r.shape_id, r.run_id, r.kind) for r in rn.pair_decorations(shapes, lines).collect())
     assert pairs == [("s0", "r0", "underline"), ("s1", "r1", "underline")]
 
+
+def test_white_space_before_a_mark_goes_from_the_edges(spark):
+    words = ["ab", "x", "ަ", "ކަ", "c\u00a0d", "e \u064b", "\u2003", "7."]
+    random.seed(4)
+    rows = [(i, random.choice(words), 20 * i, 120, 18, i, None) for i in range(40)]
+    runs = rn.insert_word_gaps(rn.order_run_items(rn.group_runs(items(spark, rows))))
+    found = {(r.run_no, r.offset): r.ch for r in rn.char_edges(runs).collect()}
+    for r in runs.collect():
+        text = "".join(" " * n + p["str"] for p, n in zip(r.parts, r.spaces))
+        kept = re.sub("[ \u00a0\u2003]+(?=[\u07a6-\u07b0\u064b-\u065f])", "", text)
+        assert "".join(found[r.run_no, k] for k in range(len(kept))) == kept and (r.run_no, len(kept)) not in found
+
+
+def test_run_steps_look_at_no_text_twice_over(spark):
+    runs = rn.insert_word_gaps(rn.order_run_items(rn.group_runs(items(spark, [(0, "a", 0, 120, 9, 0, None)]))))
+    plan = rn.char_edges(runs)._jdf.queryExecution().analyzed().toString()
+    assert "substr(" not in plan and "array_sort(" not in plan and "_mix" in plan
